@@ -20,3 +20,6 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return f"{DATA}/sf0.01"
+
+
+os.environ["PYTHONPATH"] = os.path.dirname(os.path.dirname(os.path.abspath(__file__))) + os.pathsep + os.environ.get("PYTHONPATH", "")
