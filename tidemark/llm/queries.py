@@ -39,6 +39,13 @@ def op1_secret_scan(spark, d):
     return secrets.scan(docs(spark, d))
 
 
+@query
+def op2_quality_rules(spark, d):
+    from tidemark.llm import quality
+
+    return quality.judge(docs(spark, d))
+
+
 @query
 def op3_fingerprints(spark, d):
     from tidemark.llm import fingerprint
@@ -46,6 +53,13 @@ def op3_fingerprints(spark, d):
     return fingerprint.edited_fingerprints(docs(spark, d))
 
 
+@query
+def op4_personal_data(spark, d):
+    from tidemark.llm import pii
+
+    return pii.find(docs(spark, d))
+
+
 @query
 def op5_packing(spark, d):
     from tidemark.llm import packing
