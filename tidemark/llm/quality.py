@@ -49,7 +49,11 @@ def _counted(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_q_s", F.expr("if(size(array_distinct(_q_h)) = size(_q_h), cast(array() as array<struct<h:bigint,i:int>>), sort_array(transform(_q_h, (x, i) -> struct(x as h, i as i))))"))
     d = d.withColumn("_q_p", F.expr("sort_array(transform(filter(_q_s, (e, j) -> (j > 0 and _q_s[greatest(j - 1, 0)].h = e.h) or (j < size(_q_s) - 1 and _q_s[least(j + 1, size(_q_s) - 1)].h = e.h)), e -> e.i))"))
     covered = f"aggregate(transform(_q_p, (p, j) -> if(j = size(_q_p) - 1, {WINDOW}, least({WINDOW}, _q_p[least(j + 1, size(_q_p) - 1)] - p))), 0L, (a, x) -> a + x)"
-    return d.withColumn("_q_n_repeat_words", F.expr(covered)).drop("_q_w", "_q_l", "_q_h", "_q_s", "_q_p")
+    # generated, so that the optimiser never copies these expressions into a later filter and counts a text again for each use
+    names = [f"_q_{c}" for c in (*COUNTS, "lines")]
+    d = d.withColumn("_q_n_repeat_words", F.expr(covered))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return d.select(*own, F.explode(F.array(F.struct(*names))).alias("_q")).select(*own, *[F.col(f"_q.{c}").alias(c) for c in names])
 
 
 def _ratios() -> dict[str, Column]:

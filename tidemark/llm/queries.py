@@ -67,6 +67,20 @@ def op5_packing(spark, d):
     return packing.pack(docs(spark, d), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op6_line_dedup(spark, d):
+    from tidemark.llm import lines
+
+    return lines.dedup(docs(spark, d).select("doc_id", "text"), counts=True)
+
+
+@query
+def op7_near_dedup(spark, d):
+    from tidemark.llm import neardup
+
+    return neardup.classes(docs(spark, d))
+
+
 @query
 def op8_language_id(spark, d):
     from tidemark.llm import langid
