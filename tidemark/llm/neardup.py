@@ -10,7 +10,9 @@ shingles remain.) ``BANDS`` x ``ROWS`` consistent weighted samples give band key
 
 Equal texts are one node. In each bucket the ``LEADERS`` nodes of least hash are
 compared with all members, so pairs grow linearly with a bucket, and buckets of
-up to LEADERS + 1 nodes are compared in full. Every pair is verified by weighted
+up to LEADERS + 1 nodes are compared in full. Larger buckets that still hold
+several groups meet new random leaders, turn after turn, until a turn joins
+nothing. Every pair is verified by weighted
 Jaccard similarity of the whole texts, and links of at least ``SIMILAR`` join
 groups by min-label propagation over tables in the shared folder.
 
@@ -195,20 +197,36 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     return save(_nodes(docs).mapInArrow(run, "k long, node binary, keys array<long>"), "signatures")
 
 
-def candidate_pairs(sigs: DataFrame) -> DataFrame:
-    """(a, b): distinct pairs of a bucket member and one of its bucket's leaders."""
-    one = sigs.dropDuplicates(["node"])
-    rows = save(one.select("node", F.explode("keys").alias("bucket")), "buckets")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    rows = save(rows.join(shared, "bucket"), "shared-buckets")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
-    lead = rows.withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("b"))
-    met = rows.join(lead, "bucket").where("node <> b")
+def buckets(sigs: DataFrame) -> DataFrame:
+    """(bucket, node, n) of the buckets that ``n`` > 1 different texts share, saved."""
+    rows = save(sigs.dropDuplicates(["node"]).select("node", F.explode("keys").alias("bucket")), "buckets")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return save(rows.join(shared, "bucket"), "shared-buckets")
+
+
+def candidate_pairs(rows: DataFrame, turn: int, labels: DataFrame | None = None) -> DataFrame:
+    """(a, b): distinct pairs of a bucket member and one of its bucket's leaders, drawn anew each turn.
+
+    With ``labels``, only buckets too large for one turn that still hold several
+    groups take part, and only pairs between groups.
+    """
+    own = rows.select("bucket", "node", F.col("node").alias("label"))
+    if labels is not None:
+        large = rows.where(F.col("n") > LEADERS + 1).select("bucket", "node")
+        own = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        several = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+        own = own.join(several, "bucket", "left_semi")
+    by = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(by, "node"))
+    lead = own.withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
+    met = own.join(lead, "bucket").where("node <> b and label <> other")
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
     """(a, b, sim) of the pairs whose whole texts are similar enough; only texts in some pair are shuffled."""
+    if pairs.limit(1).count() == 0:
+        return docs.sparkSession.createDataFrame([], "a binary, b binary, sim double")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     held = save(_nodes(docs).select("node", "text").join(broadcast_if_small(wanted), "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
     j = pairs.join(held.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(held.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
@@ -252,8 +270,15 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_texts, keep): ``class_id`` is the smallest id of the group, whose document stays."""
     w = weigh(docs)
     sigs = signatures(docs, w)
-    pairs = save(candidate_pairs(sigs), "pairs")
-    labels = components(verified_links(docs, pairs, w))
+    rows = buckets(sigs)
+    links = verified_links(docs, save(candidate_pairs(rows, 0), "pairs"), w)
+    labels = components(links)
+    for turn in range(1, MAX_ROUNDS):
+        more = verified_links(docs, save(candidate_pairs(rows, turn, labels), "pairs"), w)
+        if more.limit(1).count() == 0:
+            break
+        links = links.union(more)
+        labels = components(links)
     own = sigs.groupBy("node").agg(F.min("k").alias("first"))
     named = own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     group = named.groupBy("label").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n_texts"))
