@@ -26,7 +26,7 @@ from tidemark.session import BROADCAST_ROWS
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: ratio -> least spread; the fence is two-sided for characters per word.
-SPREAD = {"symbols": 0.05, "dup_lines": 0.05, "repeats": 0.03, "chars": 0.5}
+SPREAD = {"symbols": 0.05, "dup_lines": 0.1, "repeats": 0.05, "chars": 0.5}
 FENCE, LEAST_GROUP, SKETCH_K, SALTS = 6.0, 50, 800, 32
 _SPACE = r"[\\x20\\x09-\\x0D]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
