@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Distinct chunks kept per worker; beyond it the table starts anew.
-TABLE_LIMIT = 500_000
+#: Distinct chunks of a generation. A full table becomes the old generation, from which chunks still in use return.
+TABLE_LIMIT = 400_000
 _CACHE: dict[str, WordTable] = {}
 
 #: The pre-tokenizer's alternatives for lower-cased ASCII and Latin-1 text.
@@ -41,6 +41,8 @@ class WordTable(dict):
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.letters, self.parts = _byte_letters(), {}
+        self.old: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         self[""] = b""
 
     @staticmethod
@@ -51,6 +53,10 @@ class WordTable(dict):
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
+        if got is None:
+            got = self.old_parts.get(part)
+            if got is not None:
+                self.parts[part] = got
         if got is None:
             spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
             got = self.parts[part] = self._pack([t.id for t in self.tok.model.tokenize(spelled)])
@@ -60,11 +66,21 @@ class WordTable(dict):
         return b"".join([i.to_bytes(self.width, "little") for i in ids])
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit or len(self.parts) >= self.limit:
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-            self.parts.clear()
             self[""] = b""
-        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        if len(self.parts) >= self.limit:
+            self.old_parts, self.parts = self.parts, {}
+        ids = self.old.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
+        if chunk.isascii() and chunk.isalpha():
+            ids = self._part(chunk.lower())
+        elif chunk[-1] in ".," and chunk[:-1].isascii() and chunk[:-1].isalpha():
+            ids = self._part(chunk[:-1].lower()) + self._part(chunk[-1])
+        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
             ids = b"".join([self._part(p) for p in _PIECES.findall(chunk.lower())])
         else:
             ids = self._pack(self.tok.encode(chunk, add_special_tokens=False).ids)
