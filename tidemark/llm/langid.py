@@ -29,6 +29,7 @@ BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 PER_LANG, EPOCHS, RATE, SEED = 600, 6, 20.0, 11
 REJECT_RATE = 0.01
 TABLE_LIMIT = 400_000
+SLICE = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -82,6 +83,9 @@ class LanguageModel:
         self._rows = np.concatenate([self._rows, add])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        if len(texts) > SLICE:  # words of few texts are held at once
+            parts = [self.predict(texts[i : i + SLICE]) for i in range(0, len(texts), SLICE)]
+            return tuple([x for p in parts for x in p[j]] for j in range(3))
         split = [words_of(t) if self.langs and t and _LETTER.search(t) else [] for t in texts]
         if len(self._at) > TABLE_LIMIT:
             self._reset()
