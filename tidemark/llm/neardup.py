@@ -10,9 +10,10 @@ shingles remain.) ``BANDS`` x ``ROWS`` consistent weighted samples give band key
 
 Equal texts are one node. In each bucket the ``LEADERS`` nodes of least hash are
 compared with all members, so pairs grow linearly with a bucket, and buckets of
-up to LEADERS + 1 nodes are compared in full. Larger buckets that still hold
-several groups meet new random leaders, turn after turn, until a turn joins
-nothing. Every pair is verified by weighted
+up to LEADERS + 1 nodes are compared in full. The texts of larger buckets that
+still hold several groups are joined by prefix filtering, which is exact: each
+offers its rarest shingles, up to a fifth of its weight, and texts of different
+groups that share one are compared. Every pair is verified by weighted
 Jaccard similarity of the whole texts, and links of at least ``SIMILAR`` join
 groups by min-label propagation over tables in the shared folder.
 
@@ -37,6 +38,7 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS, LEADERS = 14, 3, 4
 HEAVY, CHUNK_DOCS = 0.005, 2000
 MAX_ROUNDS = 60
+SLOTS = 1 << 20
 TABLE_LIMIT = 500_000
 _NULL = -(2**63)
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -204,23 +206,71 @@ def buckets(sigs: DataFrame) -> DataFrame:
     return save(rows.join(shared, "bucket"), "shared-buckets")
 
 
-def candidate_pairs(rows: DataFrame, turn: int, labels: DataFrame | None = None) -> DataFrame:
-    """(a, b): distinct pairs of a bucket member and one of its bucket's leaders, drawn anew each turn.
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): distinct pairs of a bucket member and one of its bucket's leaders."""
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
+    lead = rows.withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("b"))
+    met = rows.select("bucket", "node").join(lead, "bucket").where("node <> b")
+    return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The leading shingles, by ``rank`` and hash, without which less than ``SIMILAR`` of the weight is left.
 
-    With ``labels``, only buckets too large for one turn that still hold several
-    groups take part, and only pairs between groups.
+    Two texts of at least that similarity share one: their common weight is at
+    least ``SIMILAR`` of either, so it does not fit into what either leaves out.
     """
-    own = rows.select("bucket", "node", F.col("node").alias("label"))
-    if labels is not None:
-        large = rows.where(F.col("n") > LEADERS + 1).select("bucket", "node")
-        own = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        several = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        own = own.join(several, "bucket", "left_semi")
-    by = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(by, "node"))
-    lead = own.withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-    met = own.join(lead, "bucket").where("node <> b and label <> other")
-    return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    order = np.lexsort((s, rank))
+    left = np.cumsum(w[order][::-1])[::-1]
+    return s[order[left >= SIMILAR * left[0] * (1 - 1e-9)]] if len(s) else s
+
+
+def rest_pairs(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Weights) -> DataFrame | None:
+    """(a, b): every further pair that can be similar between groups of a bucket too large for its leaders; None if there is none.
+
+    The texts of such buckets share a prefix shingle if they are similar. Shingles
+    are ranked by a count of ``SLOTS`` hash slots over these texts, so a prefix
+    holds a text's rarest shingles; the ranking affects cost only.
+    """
+    large = rows.where(F.col("n") > LEADERS + 1).select("bucket", "node")
+    own = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    several = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    nodes = save(own.join(several, "bucket", "left_semi").select("node", "label").distinct(), "rest-nodes")
+    if nodes.limit(1).count() == 0:
+        return None
+    held = save(_nodes(docs).select("node", "text").join(broadcast_if_small(nodes), "node").dropDuplicates(["node"]), "rest-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(SLOTS, dtype=np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                np.add.at(c, (shingles(x)[0] % np.uint64(SLOTS)).astype(np.int64), 1)
+        on = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(c[on])], names=["slot", "c"])
+
+    counted = held.select("text").mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # at most SLOTS rows
+    slots = np.zeros(SLOTS, dtype=np.int32)
+    slots[counted.column("slot").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at, sums = [], [], []
+            for i, x in enumerate(batch.column("text").to_pylist()):
+                s, n = shingles(x)
+                w = weights.of(s, n)
+                p = prefix(s, w, slots[(s % np.uint64(SLOTS)).astype(np.int64)])
+                keys.append(p)
+                at.append(np.full(len(p), i))
+                sums.append(np.full(len(p), w.sum()))
+            rest = batch.select(["node", "label"]).take(pa.array(np.concatenate(at), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sums)), *rest.columns], names=["s", "w", "node", "label"])
+
+    found = save(held.mapInArrow(run, "s long, w double, node binary, label binary"), "prefixes")
+    mixed = found.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
+    found = save(found.join(mixed, "s", "left_semi"), "mixed-prefixes")
+    low = found.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"))
+    met = found.withColumnRenamed("node", "a").join(low, "s").where(f"a > b and label <> other and least(w, v) >= {SIMILAR - 1e-9} * greatest(w, v)")
+    return met.select("a", "b").distinct()
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
@@ -271,14 +321,11 @@ def classes(docs: DataFrame) -> DataFrame:
     w = weigh(docs)
     sigs = signatures(docs, w)
     rows = buckets(sigs)
-    links = verified_links(docs, save(candidate_pairs(rows, 0), "pairs"), w)
+    links = verified_links(docs, save(candidate_pairs(rows), "pairs"), w)
     labels = components(links)
-    for turn in range(1, MAX_ROUNDS):
-        more = verified_links(docs, save(candidate_pairs(rows, turn, labels), "pairs"), w)
-        if more.limit(1).count() == 0:
-            break
-        links = links.union(more)
-        labels = components(links)
+    rest = rest_pairs(docs, rows, labels, w)
+    if rest is not None:
+        labels = components(links.union(verified_links(docs, save(rest, "pairs"), w)))
     own = sigs.groupBy("node").agg(F.min("k").alias("first"))
     named = own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     group = named.groupBy("label").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n_texts"))
