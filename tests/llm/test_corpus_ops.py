@@ -158,9 +158,12 @@ def test_prefixes_lose_no_similar_pair():
         b = a ^ (rng.random(len(pool)) < 0.1)
         if w[a & b].sum() >= neardup.SIMILAR * w[a | b].sum():
             close += 1
-            assert np.intersect1d(neardup.prefix(pool[a], w[a], rank[a]), neardup.prefix(pool[b], w[b], rank[b])).size
+            (p, x), (q, y) = neardup.prefix(pool[a], w[a], rank[a]), neardup.prefix(pool[b], w[b], rank[b])
+            _, i, j = np.intersect1d(p, q, return_indices=True)
+            need = neardup.SIMILAR / (1 + neardup.SIMILAR) * (w[a].sum() + w[b].sum()) * (1 - 1e-9)
+            assert (np.minimum(x[i], y[j]) >= need).any()
     assert close > 100
-    assert neardup.prefix(pool[:0], w[:0], rank[:0]).size == 0
+    assert neardup.prefix(pool[:0], w[:0], rank[:0])[0].size == 0
 
 
 def test_near_awkward(spark):

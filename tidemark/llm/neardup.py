@@ -214,15 +214,19 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The leading shingles, by ``rank`` and hash, without which less than ``SIMILAR`` of the weight is left.
+def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading shingles, by ``rank`` and hash, without which less than ``SIMILAR`` of the weight is left, and the weight from each on.
 
     Two texts of at least that similarity share one: their common weight is at
     least ``SIMILAR`` of either, so it does not fit into what either leaves out.
+    From the first they share on, both have at least that common weight.
     """
+    if not len(s):
+        return s, w
     order = np.lexsort((s, rank))
     left = np.cumsum(w[order][::-1])[::-1]
-    return s[order[left >= SIMILAR * left[0] * (1 - 1e-9)]] if len(s) else s
+    on = left >= SIMILAR * left[0] * (1 - 1e-9)
+    return s[order[on]], left[on]
 
 
 def rest_pairs(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Weights) -> DataFrame | None:
@@ -254,22 +258,24 @@ def rest_pairs(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Wei
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, at, sums = [], [], []
+            keys, at, left, sums = [], [], [], []
             for i, x in enumerate(batch.column("text").to_pylist()):
                 s, n = shingles(x)
                 w = weights.of(s, n)
-                p = prefix(s, w, slots[(s % np.uint64(SLOTS)).astype(np.int64)])
+                p, rest = prefix(s, w, slots[(s % np.uint64(SLOTS)).astype(np.int64)])
                 keys.append(p)
                 at.append(np.full(len(p), i))
+                left.append(rest)
                 sums.append(np.full(len(p), w.sum()))
-            rest = batch.select(["node", "label"]).take(pa.array(np.concatenate(at), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sums)), *rest.columns], names=["s", "w", "node", "label"])
+            named = batch.select(["node", "label"]).take(pa.array(np.concatenate(at), pa.int64()))
+            numbers = [np.concatenate(keys).view(np.int64), np.concatenate(left), np.concatenate(sums)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), *named.columns], names=["s", "rest", "w", "node", "label"])
 
-    found = save(held.mapInArrow(run, "s long, w double, node binary, label binary"), "prefixes")
+    found = save(held.mapInArrow(run, "s long, rest double, w double, node binary, label binary"), "prefixes")
     mixed = found.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
     found = save(found.join(mixed, "s", "left_semi"), "mixed-prefixes")
-    low = found.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"))
-    met = found.withColumnRenamed("node", "a").join(low, "s").where(f"a > b and label <> other and least(w, v) >= {SIMILAR - 1e-9} * greatest(w, v)")
+    low = found.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"), F.col("rest").alias("left"))
+    met = found.withColumnRenamed("node", "a").join(low, "s").where(f"a > b and label <> other and least(rest, left) >= {SIMILAR / (1 + SIMILAR) * (1 - 1e-9)} * (w + v)")
     return met.select("a", "b").distinct()
 
 
