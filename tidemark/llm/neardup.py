@@ -12,8 +12,8 @@ Equal texts are one node. In each bucket the ``LEADERS`` nodes of least hash are
 compared with all members, so pairs grow linearly with a bucket, and buckets of
 up to LEADERS + 1 nodes are compared in full. The texts of larger buckets that
 still hold several groups are joined by prefix filtering, which is exact: each
-offers its rarest shingles, up to a fifth of its weight, and texts of different
-groups that share one are compared. Every pair is verified by weighted
+offers its rarest shingles, up to a fifth of its weight; those that share one
+meet its leaders, then all of other groups that can still be similar. Every pair is verified by weighted
 Jaccard similarity of the whole texts, and links of at least ``SIMILAR`` join
 groups by min-label propagation over tables in the shared folder.
 
@@ -229,8 +229,8 @@ def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray,
     return s[order[on]], left[on]
 
 
-def rest_pairs(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Weights) -> DataFrame | None:
-    """(a, b): every further pair that can be similar between groups of a bucket too large for its leaders; None if there is none.
+def rest_prefixes(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Weights) -> DataFrame | None:
+    """(s, rest, w, node): prefixes of the texts in buckets too large for their leaders that hold several groups, saved; None if there are none.
 
     The texts of such buckets share a prefix shingle if they are similar. Shingles
     are ranked by a count of ``SLOTS`` hash slots over these texts, so a prefix
@@ -239,7 +239,7 @@ def rest_pairs(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Wei
     large = rows.where(F.col("n") > LEADERS + 1).select("bucket", "node")
     own = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     several = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    nodes = save(own.join(several, "bucket", "left_semi").select("node", "label").distinct(), "rest-nodes")
+    nodes = save(own.join(several, "bucket", "left_semi").select("node").distinct(), "rest-nodes")
     if nodes.limit(1).count() == 0:
         return None
     held = save(_nodes(docs).select("node", "text").join(broadcast_if_small(nodes), "node").dropDuplicates(["node"]), "rest-texts")
@@ -267,16 +267,25 @@ def rest_pairs(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Wei
                 at.append(np.full(len(p), i))
                 left.append(rest)
                 sums.append(np.full(len(p), w.sum()))
-            named = batch.select(["node", "label"]).take(pa.array(np.concatenate(at), pa.int64()))
+            named = batch.column("node").take(pa.array(np.concatenate(at), pa.int64()))
             numbers = [np.concatenate(keys).view(np.int64), np.concatenate(left), np.concatenate(sums)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), *named.columns], names=["s", "rest", "w", "node", "label"])
-
-    found = save(held.mapInArrow(run, "s long, rest double, w double, node binary, label binary"), "prefixes")
-    mixed = found.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
-    found = save(found.join(mixed, "s", "left_semi"), "mixed-prefixes")
-    low = found.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"), F.col("rest").alias("left"))
-    met = found.withColumnRenamed("node", "a").join(low, "s").where(f"a > b and label <> other and least(rest, left) >= {SIMILAR / (1 + SIMILAR) * (1 - 1e-9)} * (w + v)")
-    return met.select("a", "b").distinct()
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), named], names=["s", "rest", "w", "node"])
+
+    return save(held.mapInArrow(run, "s long, rest double, w double, node binary"), "prefixes")
+
+
+def prefix_pairs(found: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
+    """(a, b): pairs of different groups that share a prefix shingle and can be similar; with ``few`` only those with the shingle's ``LEADERS`` texts."""
+    own = found.join(labels, "node", "left").select("s", "rest", "w", "node", F.coalesce("label", "node").alias("label"))
+    mixed = own.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
+    own = save(own.join(mixed, "s", "left_semi"), "mixed-prefixes")
+    low = own.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"), F.col("rest").alias("left"))
+    if few:
+        rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc(F.col("left") / F.col("v")), "b"))
+        low = low.withColumn("r", rank).where(F.col("r") <= LEADERS).drop("r")
+    able = f"label <> other and least(rest, left) >= {SIMILAR / (1 + SIMILAR) * (1 - 1e-9)} * (w + v)"
+    met = own.join(low, "s").where(able if few else f"node > b and {able}")
+    return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
 def verified_links(docs: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
@@ -329,9 +338,11 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = buckets(sigs)
     links = verified_links(docs, save(candidate_pairs(rows), "pairs"), w)
     labels = components(links)
-    rest = rest_pairs(docs, rows, labels, w)
+    rest = rest_prefixes(docs, rows, labels, w)
     if rest is not None:
-        labels = components(links.union(verified_links(docs, save(rest, "pairs"), w)))
+        for few in (True, False):  # what leaders join need not meet again
+            links = links.union(verified_links(docs, save(prefix_pairs(rest, labels, few), "pairs"), w))
+            labels = components(links)
     own = sigs.groupBy("node").agg(F.min("k").alias("first"))
     named = own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     group = named.groupBy("label").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n_texts"))
