@@ -112,6 +112,17 @@ def test_near(spark, sf, plain):
     assert sum(r["keep"] for r in got) == len({r["class_id"] for r in got})
 
 
+def test_document_frequencies(spark):
+    """Frequent shingles are counted exactly, whichever partitions hold them; rarer ones are left out."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(6)) + (" one two three four five" if i < 30 else "") + (" red green blue black white" if i % 60 == 0 else "")) for i in range(3000)]
+    got = neardup.weigh(docs(spark, rows).repartitionByRange(5, "doc_id"))
+    df = Counter(x for _, t in rows for x in neardup.shingles(t)[0].tolist())
+    heavy = {x: c for x, c in df.items() if c >= neardup.HEAVY * len(rows)}
+    assert heavy and sorted(got.keys.tolist()) == sorted(heavy)
+    assert np.allclose(got.idf, [np.log1p(len(rows) / heavy[x]) for x in got.keys.tolist()])
+    assert not len(neardup.weigh(docs(spark, rows).limit(0)).keys)
+
+
 def test_near_large_group(spark):
     """A chain and a large family of near copies hold together; different documents stay apart."""
     import random

@@ -4,9 +4,11 @@ A document is its five-word shingles (words lower-cased, outer punctuation
 dropped; a shorter text is one shingle) with weight count x idf. Document
 frequencies are counted over the whole corpus and used exactly for shingles in
 at least ``HEAVY`` of all documents; rarer ones share the frequency ``HEAVY``.
-(A shingle that frequent is that frequent in some chunk of documents, so one pass
-collects candidates and a second counts them; at most average length / HEAVY
-shingles remain.) ``BANDS`` x ``ROWS`` consistent weighted samples give band keys.
+(Chunks of documents report counts of at least ``LOCAL`` x ``HEAVY`` of their own
+documents. A shingle of ``HEAVY`` loses less than ``LOCAL`` of that, so the sum of
+its reports is above 1 - ``LOCAL`` of it; the few that are, are counted exactly in a
+second pass. Their number is bounded by the average length, not by the corpus.)
+``BANDS`` x ``ROWS`` consistent weighted samples give band keys.
 
 Equal texts are one node. In each bucket the ``LEADERS`` nodes of least hash are
 compared with all members, so pairs grow linearly with a bucket, and buckets of
@@ -36,7 +38,8 @@ from tidemark.session import broadcast_if_small
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS, LEADERS = 14, 3, 4
-HEAVY, CHUNK_DOCS = 0.005, 2000
+HEAVY, LOCAL = 0.005, 0.75
+CHUNK_DOCS, CHUNK_SHINGLES = 2000, 1 << 22
 MAX_ROUNDS = 60
 SLOTS = 1 << 20
 TABLE_LIMIT = 500_000
@@ -150,41 +153,47 @@ def weigh(docs: DataFrame) -> Weights:
     """Document frequencies of frequent shingles, exact over all documents."""
     t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
+    def counted(s: np.ndarray, c: np.ndarray, n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.append(s.view(np.int64), 0)), pa.array(np.append(c, n)), pa.array(np.append(np.zeros(len(s), bool), True))], names=["s", "c", "total"])
+
+    def summed(run, label: str) -> tuple[DataFrame, int]:
+        got = save(t.mapInArrow(run, "s long, c long, total boolean").groupBy("s", "total").agg(F.sum("c").alias("c")), label)
+        return got.where("not total"), got.where("total").agg(F.sum("c")).first()[0] or 0
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = [], 0
+        own, size = [], 0
 
         def heavy() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(own), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys[counts >= HEAVY * n].view(np.int64))], names=["s"])
+            on = counts >= LOCAL * HEAVY * len(own)
+            return counted(keys[on], counts[on], len(own))
 
         for b in batches:
             for x in b.column(0).to_pylist():
                 own.append(shingles(x)[0])
-                n += 1
-                if n >= CHUNK_DOCS:
+                size += len(own[-1])
+                if len(own) >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
                     yield heavy()
-                    own, n = [], 0
+                    own, size = [], 0
         if own:
             yield heavy()
 
-    found = save(t.mapInArrow(chunks, "s long").distinct(), "shingle-candidates")
-    keys = np.sort(np.array([r["s"] for r in found.collect()], dtype=np.int64).view(np.uint64))  # frequent in some chunk
+    found, total = summed(chunks, "shingle-candidates")
+    likely = found.where(F.col("c") >= (1 - LOCAL) * HEAVY * total).collect()  # at most average length / HEAVY / (1 - LOCAL) rows
+    keys = np.sort(np.array([r["s"] for r in likely], dtype=np.int64).view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, n = np.zeros(len(keys), dtype=np.int64), 0
         for b in batches:
             for x in b.column(0).to_pylist():
                 n += 1
-                if len(keys):
-                    s = shingles(x)[0]
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    c[at[keys[at] == s]] += 1
+                s = shingles(x)[0]
+                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                c[at[keys[at] == s]] += 1
         on = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[on].view(np.int64), 0)), pa.array(np.append(c[on], n)), pa.array(np.append(np.zeros(len(on), bool), True))], names=["s", "c", "total"])
+        yield counted(keys[on], c[on], n)
 
-    counted = save(t.mapInArrow(count, "s long, c long, total boolean").groupBy("s", "total").agg(F.sum("c").alias("c")), "shingle-counts")
-    total = counted.where("total").agg(F.sum("c")).first()[0] or 0
-    rows = counted.where(~F.col("total") & (F.col("c") >= HEAVY * total)).collect()  # at most average length / HEAVY rows
+    rows = summed(count, "shingle-counts")[0].where(F.col("c") >= HEAVY * total).collect() if len(keys) else []
     return Weights(total, np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["c"] for r in rows], dtype=np.int64))
 
 
