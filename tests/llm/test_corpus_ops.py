@@ -187,6 +187,15 @@ def test_near_awkward(spark):
     assert neardup.classes(d.limit(0)).count() == 0
 
 
+def test_near_keeps_by_id_and_text(spark):
+    """Different texts with no id or with one repeated id all stay; of similar ones under one id a single text stays."""
+    say = lambda x: " ".join(f"{x}{j}" for j in range(40))
+    rows = [(None, say("a")), (None, say("b")), (None, say("c")), (None, say("c") + " more"), (1, say("d")), (2, say("d")), (2, say("e")), (2, say("e")), (2, say("f"))]
+    d = docs(spark, rows)
+    got = Counter((r["doc_id"], r["text"].removesuffix(" more")) for r in neardup.dedup(d).collect())
+    assert got == Counter([(None, say("a")), (None, say("b")), (None, say("c")), (1, say("d")), (2, say("e")), (2, say("f"))])
+
+
 def test_samples_are_consistent():
     """Agreement of samples estimates weighted Jaccard similarity."""
     rng = np.random.default_rng(1)

@@ -340,8 +340,8 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("groups did not settle")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_texts, keep): ``class_id`` is the smallest id of the group, whose document stays."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """(k, node, class, n_texts, keep) of every row; of a group's texts under its smallest id, the one of least hash stays."""
     w = weigh(docs)
     sigs = signatures(docs, w)
     rows = buckets(sigs)
@@ -354,18 +354,24 @@ def classes(docs: DataFrame) -> DataFrame:
             labels = components(links)
     own = sigs.groupBy("node").agg(F.min("k").alias("first"))
     named = own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
-    group = named.groupBy("label").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n_texts"))
-    by_node = save(named.join(group, "label").select("node", "class", "n_texts"), "classes")
+    group = named.groupBy("label").agg(F.min(F.struct("first", "node")).alias("head"), F.count(F.lit(1)).alias("n_texts"))
+    by_node = save(named.join(group, "label").select("node", F.col("head.first").alias("class"), (F.col("node") == F.col("head.node")).alias("head"), "n_texts"), "classes")
     j = sigs.select("k", "node").join(by_node, "node")
+    return j.select("k", "node", "class", "n_texts", ((F.col("k") == F.col("class")) & F.col("head")).alias("keep"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_texts, keep): ``class_id`` is the smallest id of the group, whose document stays."""
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return j.select(back("k").alias("doc_id"), back("class").alias("class_id"), "n_texts", (F.col("k") == F.col("class")).alias("keep"))
+    return _classes(docs).select(back("k").alias("doc_id"), back("class").alias("class_id"), "n_texts", "keep")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns."""
-    keep = save(classes(docs).where("keep").select(F.coalesce("doc_id", F.lit(_NULL)).alias("_x_k")).distinct(), "kept-ids")
-    d = docs.withColumn("_x_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)))
-    kept = d.join(keep, "_x_k", "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_x_k"])
+    """The documents that stay, one of each group, with all their columns; a document is an id and its text."""
+    keep = save(_classes(docs).where("keep").groupBy(F.col("k").alias("_x_k"), F.col("node").alias("_x_node")).agg(F.count(F.lit(1)).alias("_x_n")), "kept-documents")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.withColumns({"_x_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "_x_node": F.unhex(F.md5(text))})
+    kept = d.join(keep, ["_x_k", "_x_node"], "left_semi")
+    if keep.where("_x_n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_x_k", "_x_node"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
