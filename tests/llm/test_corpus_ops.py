@@ -66,6 +66,15 @@ def test_lines_awkward(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in lines.dedup(d).collect() if r["text"] is not None)
 
 
+def test_lines_short_and_unspaced(spark):
+    """Lines of few tokens and of scripts without spaces recur too, but only where they are equal."""
+    wide = "本网站的所有内容均受版权保护，未经书面许可不得转载、复制或以其他方式使用。" * 2
+    same = f"All rights reserved.\n{wide}\nhttps://example.org/a/long/path?id=77"
+    rows = [(1, f"{same}\nPage 1\n\n7"), (2, f"{same}\nPage 2\n\n8"), (3, f"All  rights\treserved.\nall rights reserved\n{wide}。")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup(docs(spark, rows), counts=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("Page 2\n\n8", 3), 3: (f"all rights reserved\n{wide}。", 1)}
+
+
 # 7
 
 

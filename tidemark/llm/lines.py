@@ -5,8 +5,9 @@ from ``FIELD_TOKENS`` tokens on, every second token after them: the positions in
 between are fields. Tokens with a digit or ``@`` are variable wherever they
 stand. The path's hash is the template. A template seen in two or more documents
 recurs: its lines stay in the first document (smallest ``doc_id``) and are
-dropped from all others. Lines of fewer than ``MIN_TOKENS`` tokens are never
-dropped.
+dropped from all others. Lines of fewer than ``EXACT_TOKENS`` tokens, which
+include those of scripts without spaces, have no fields: their path is all their
+tokens as they stand. Only blank lines (fewer than ``MIN_TOKENS``) have no template.
 
 Per template only its first and last document are aggregated (map-side first),
 so a line in a third of all documents costs one row per task; joining templates
@@ -30,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tidemark.llm.common import save
 from tidemark.session import broadcast_if_small
 
-DEPTH, FIELD_TOKENS, MIN_TOKENS = 3, 12, 4
+DEPTH, FIELD_TOKENS, EXACT_TOKENS, MIN_TOKENS = 3, 12, 4, 1
 _SPACE = r"[\\x20\\x09-\\x0D]"
 _OTHER = r"[^\\x20\\x09-\\x0D]"
 
@@ -40,12 +41,12 @@ def _doc() -> Column:
 
 
 def template(line: str = "_x_line") -> str:
-    """SQL of the template hash of ``line``; null for short lines."""
+    """SQL of the template hash of ``line``; null for blank lines."""
     plain = f"if(rlike({line}, '[0-9@]'), regexp_replace({line}, '(?<!{_OTHER}){_OTHER}*?[0-9@]{_OTHER}*', '<*>'), {line})"
-    tokens = f"filter(split({plain}, '{_SPACE}+'), x -> x <> '')"
+    tokens, exact = (f"filter(split({x}, '{_SPACE}+'), x -> x <> '')" for x in (plain, line))
     # a one-element transform names the tokens, so that they are made once
     path = f"if(size(t) >= {FIELD_TOKENS}, filter(t, (x, i) -> i < {DEPTH} or i % 2 = 0), t)"
-    return f"transform(array({tokens}), t -> if(size(t) < {MIN_TOKENS}, null, xxhash64(size(t), {path})))[0]"
+    return f"transform(array({tokens}), t -> if(size(t) < {MIN_TOKENS}, null, xxhash64(size(t), if(size(t) < {EXACT_TOKENS}, {exact}, {path}))))[0]"
 
 
 def recurring(docs: DataFrame) -> DataFrame:
