@@ -205,6 +205,31 @@ def test_near_keeps_by_id_and_text(spark):
     assert got == Counter([(None, say("a")), (None, say("b")), (None, say("c")), (1, say("d")), (2, say("e")), (2, say("f"))])
 
 
+def test_near_counts_every_shingle(spark, monkeypatch):
+    """Shingles that are not frequent have their own document frequency: a passage of 9 documents in 2011 weighs less than words of one."""
+    monkeypatch.setattr(neardup, "PART_CHARS", 20_000)
+    say = lambda x, n: " ".join(f"{x}{j}" for j in range(n))
+    rows = [(i, f"{say('shared', 100)} {say(f'own{i}x', 10)}") for i in range(9)] + [(i, say("alone", 60)) for i in (9, 10)] + [(100 + i, say(f"w{i}x", 9)) for i in range(2000)]
+    d = docs(spark, rows).repartition(7)
+    w = neardup.weigh(d)
+    df = Counter(x for _, t in rows for x in neardup.shingles(t)[0].tolist())
+    assert not len(w.keys)
+    for r in neardup.frequencies(d, w).collect():
+        s, n = neardup.shingles(r["text"])
+        assert np.allclose(w.of(s, n, r["freq"]), np.array([np.log1p(len(rows) / df[x]) for x in s.tolist()]) * n)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(d).collect()}
+    assert all(got[i] == i for i in range(9)) and got[10] == 9
+
+
+def test_near_by_true_frequencies(spark, sf, plain, monkeypatch):
+    """The groups are those of the idf of every shingle, none of them clipped."""
+    with monkeypatch.context() as p:
+        p.setattr(neardup, "HEAVY", 1e-9)  # brute force counts all
+        want = groups(plain)
+    got = neardup.classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == want
+
+
 def test_samples_are_consistent():
     """Agreement of samples estimates weighted Jaccard similarity."""
     rng = np.random.default_rng(1)

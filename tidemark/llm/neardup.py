@@ -1,9 +1,10 @@
 """Operator 7: near-duplicate groups by improved consistent weighted sampling.
 
 A document is its five-word shingles (words lower-cased, outer punctuation
-dropped; a shorter text is one shingle) with weight count x idf. Document
-frequencies are counted over the whole corpus and used exactly for shingles in
-at least ``HEAVY`` of all documents; rarer ones share the frequency ``HEAVY``.
+dropped; a shorter text is one shingle) with weight count x idf. The document
+frequency of every shingle is counted over the whole corpus: those in at least
+``HEAVY`` of all documents in tables that every task holds, and all others by a
+shuffle over parts of the hash range, which brings the counts above 1 back to the texts.
 (Chunks of documents report counts of at least ``LOCAL`` x ``HEAVY`` of their own
 documents. A shingle of ``HEAVY`` loses less than ``LOCAL`` of that, so the sum of
 its reports is above 1 - ``LOCAL`` of it; the few that are, are counted exactly in a
@@ -40,6 +41,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS, LEADERS = 14, 3, 4
 HEAVY, LOCAL = 0.005, 0.75
 CHUNK_DOCS, CHUNK_SHINGLES = 2000, 1 << 22
+PART_CHARS = 1 << 23
+FREQ = np.dtype([("s", "<u8"), ("c", "<u4")])
 MAX_ROUNDS = 60
 SLOTS = 1 << 20
 TABLE_LIMIT = 500_000
@@ -79,24 +82,34 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """idf of shingles; ``heavy`` holds the frequent ones' document counts."""
+    """idf of shingles; the frequent ones' document counts are in ``keys``, those of a text's others come with it as ``FREQ`` records."""
 
     def __init__(self, docs: int, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.light = keys[order], np.log1p(1 / HEAVY)
+        self.docs, self.keys, self.light = docs, keys[order], np.log1p(1 / HEAVY)
         self.idf = np.log1p(docs / np.maximum(counts[order], 1))
 
-    def of(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        w = np.full(len(s), self.light)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
-            hit = self.keys[at] == s
-            w[hit] = self.idf[at[hit]]
+    def heavy(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shingles are frequent, and the places of those in ``keys``."""
+        if not len(self.keys):
+            return np.zeros(len(s), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        hit = self.keys[at] == s
+        return hit, at[hit]
+
+    def of(self, s: np.ndarray, n: np.ndarray, freq: list[bytes] | None = None) -> np.ndarray:
+        """Weights of a text's shingles: those neither frequent nor in ``freq`` are in one document; without ``freq`` they share the frequency ``HEAVY``."""
+        w = np.full(len(s), self.light if freq is None else np.log1p(self.docs))
+        for x in freq or ():
+            r = np.frombuffer(x, FREQ)
+            w[np.searchsorted(s, r["s"])] = np.log1p(self.docs / r["c"])
+        hit, at = self.heavy(s)
+        w[hit] = self.idf[at]
         return w * n
 
 
 def similarity(a: tuple, b: tuple, weights: Weights) -> float:
-    """Weighted Jaccard similarity of two ``shingles`` results; two empty texts are alike."""
+    """Weighted Jaccard similarity of two ``shingles`` results, each with its ``freq`` if known; two empty texts are alike."""
     x, y = weights.of(*a), weights.of(*b)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
@@ -131,12 +144,12 @@ def samples(s: np.ndarray, w: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def bands(text: str | None, weights: Weights) -> list[int]:
+def bands(text: str | None, weights: Weights, freq: list[bytes] | None = None) -> list[int]:
     """Band keys of a text; none for an empty one."""
     s, n = shingles(text)
     if not len(s):
         return []
-    x = samples(s, weights.of(s, n)).reshape(BANDS, ROWS)
+    x = samples(s, weights.of(s, n, freq)).reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         key = _mix((key ^ x[:, r]) * _M[4])
@@ -197,20 +210,78 @@ def weigh(docs: DataFrame) -> Weights:
     return Weights(total, np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["c"] for r in rows], dtype=np.int64))
 
 
-def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(k, node, keys array<long>) of every document, saved."""
+def frequencies(docs: DataFrame, weights: Weights) -> DataFrame:
+    """(node, text, freq): every different text, with the ``FREQ`` records of its shingles in two or more documents that are not frequent; saved.
+
+    Shingles are dealt by hash over parts whose number grows with the corpus, packed
+    by chunk of documents, and counted part by part; frequent ones, which would be
+    hot, are not dealt.
+    """
+    nodes = _nodes(docs).select("node", "text")
+    parts = 1 + (nodes.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, names, size = [], [], 0
+
+        def dealt() -> pa.RecordBatch:
+            s, at = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            p = (s % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(p, kind="stable")
+            cuts = np.flatnonzero(np.diff(p[order])) + 1
+            rows: list[list] = [[], [], [], []]
+            for o in np.split(order, cuts) if len(order) else []:
+                who, place = np.unique(at[o], return_inverse=True)
+                for c, v in zip(rows, (p[o[0]], s[o].tobytes(), place.astype(np.uint16).tobytes(), b"".join([names[i] for i in who])), strict=True):
+                    c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["p", "s", "place", "who"])
+
+        for b in batches:
+            for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingles(x)[0]
+                own.append(s[~weights.heavy(s)[0]])
+                names.append(node)
+                size += len(own[-1])
+                if len(own) >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
+                    yield dealt()
+                    own, names, size = [], [], 0
+        if own:
+            yield dealt()
+
+    def count(t: pa.Table) -> pa.Table:
+        who = [x[i : i + 16] for x in t.column("who").to_pylist() for i in range(0, len(x), 16)]
+        base = np.cumsum([0, *(len(x) // 16 for x in t.column("who").to_pylist())])
+        s = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()])
+        at = np.concatenate([np.frombuffer(x, np.uint16) + n for n, x in zip(base, t.column("place").to_pylist())])
+        _, back, c = np.unique(s, return_inverse=True, return_counts=True)
+        on = np.flatnonzero(c[back] > 1)
+        on = on[np.argsort(at[on], kind="stable")]
+        r = np.empty(len(on), FREQ)
+        r["s"], r["c"], at = s[on], c[back[on]], at[on]
+        found: dict[bytes, bytes] = {}
+        for x in np.split(np.arange(len(on)), np.flatnonzero(np.diff(at)) + 1) if len(on) else []:
+            found.setdefault(who[at[x[0]]], r[x[0] : x[-1] + 1].tobytes())  # equal texts have equal records
+        return pa.table({"node": pa.array(list(found), pa.binary()), "freq": pa.array(list(found.values()), pa.binary())})
+
+    counted = nodes.mapInArrow(deal, "p long, s binary, place binary, who binary").groupBy("p").applyInArrow(count, "node binary, freq binary")
+    freq = counted.groupBy("node").agg(F.collect_list("freq").alias("freq"))  # at most one record list a part
+    j = nodes.dropDuplicates(["node"]).join(freq, "node", "left")
+    return save(j.select("node", "text", F.coalesce("freq", F.expr("cast(array() as array<binary>)")).alias("freq")), "texts")
+
+
+def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(node, keys array<long>) of every different text, saved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [bands(x, weights) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["k", "node", "keys"])
+            keys = [bands(x, weights, f) for x, f in zip(b.column("text").to_pylist(), b.column("freq").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
 
-    return save(_nodes(docs).mapInArrow(run, "k long, node binary, keys array<long>"), "signatures")
+    return save(texts.mapInArrow(run, "node binary, keys array<long>"), "signatures")
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
     """(bucket, node, n) of the buckets that ``n`` > 1 different texts share, saved."""
-    rows = save(sigs.dropDuplicates(["node"]).select("node", F.explode("keys").alias("bucket")), "buckets")
+    rows = save(sigs.select("node", F.explode("keys").alias("bucket")), "buckets")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return save(rows.join(shared, "bucket"), "shared-buckets")
 
@@ -238,7 +309,7 @@ def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray,
     return s[order[on]], left[on]
 
 
-def rest_prefixes(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights: Weights) -> DataFrame | None:
+def rest_prefixes(texts: DataFrame, rows: DataFrame, labels: DataFrame, weights: Weights) -> DataFrame | None:
     """(s, rest, w, node): prefixes of the texts in buckets too large for their leaders that hold several groups, saved; None if there are none.
 
     The texts of such buckets share a prefix shingle if they are similar. Shingles
@@ -251,7 +322,7 @@ def rest_prefixes(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights:
     nodes = save(own.join(several, "bucket", "left_semi").select("node").distinct(), "rest-nodes")
     if nodes.limit(1).count() == 0:
         return None
-    held = save(_nodes(docs).select("node", "text").join(broadcast_if_small(nodes), "node").dropDuplicates(["node"]), "rest-texts")
+    held = save(texts.join(broadcast_if_small(nodes), "node"), "rest-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(SLOTS, dtype=np.int64)
@@ -268,9 +339,9 @@ def rest_prefixes(docs: DataFrame, rows: DataFrame, labels: DataFrame, weights:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, at, left, sums = [], [], [], []
-            for i, x in enumerate(batch.column("text").to_pylist()):
+            for i, (x, f) in enumerate(zip(batch.column("text").to_pylist(), batch.column("freq").to_pylist(), strict=True)):
                 s, n = shingles(x)
-                w = weights.of(s, n)
+                w = weights.of(s, n, f)
                 p, rest = prefix(s, w, slots[(s % np.uint64(SLOTS)).astype(np.int64)])
                 keys.append(p)
                 at.append(np.full(len(p), i))
@@ -297,22 +368,22 @@ def prefix_pairs(found: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
+def verified_links(texts: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
     """(a, b, sim) of the pairs whose whole texts are similar enough; only texts in some pair are shuffled."""
     if pairs.limit(1).count() == 0:
-        return docs.sparkSession.createDataFrame([], "a binary, b binary, sim double")
+        return texts.sparkSession.createDataFrame([], "a binary, b binary, sim double")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = save(_nodes(docs).select("node", "text").join(broadcast_if_small(wanted), "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
-    j = pairs.join(held.withColumnsRenamed({"node": "b", "text": "tb"}), "b").join(held.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
+    held = save(texts.join(broadcast_if_small(wanted), "node", "left_semi"), "pair-texts")
+    j = pairs.join(held.withColumnsRenamed({"node": "b", "text": "tb", "freq": "fb"}), "b").join(held.withColumnsRenamed({"node": "a", "text": "ta", "freq": "fa"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[bytes, tuple] = {}
             a, b, sims = [], [], []
-            for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                for node, text in ((x, tx), (y, ty)):
+            for x, y, tx, ty, fx, fy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb", "fa", "fb")), strict=True):
+                for node, text, freq in ((x, tx, fx), (y, ty, fy)):
                     if node not in known:
-                        known[node] = shingles(text)
+                        known[node] = (*shingles(text), freq)
                 s = similarity(known[x], known[y], weights)
                 if s >= SIMILAR:
                     a.append(x)
@@ -320,7 +391,7 @@ def verified_links(docs: DataFrame, pairs: DataFrame, weights: Weights) -> DataF
                     sims.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return save(j.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double"), "links")
+    return save(j.select("a", "b", "ta", "tb", "fa", "fb").mapInArrow(run, "a binary, b binary, sim double"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,20 +414,21 @@ def components(links: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     """(k, node, class, n_texts, keep) of every row; of a group's texts under its smallest id, the one of least hash stays."""
     w = weigh(docs)
-    sigs = signatures(docs, w)
-    rows = buckets(sigs)
-    links = verified_links(docs, save(candidate_pairs(rows), "pairs"), w)
+    texts = frequencies(docs, w)
+    rows = buckets(signatures(texts, w))
+    links = verified_links(texts, save(candidate_pairs(rows), "pairs"), w)
     labels = components(links)
-    rest = rest_prefixes(docs, rows, labels, w)
+    rest = rest_prefixes(texts, rows, labels, w)
     if rest is not None:
         for few in (True, False):  # what leaders join need not meet again
-            links = links.union(verified_links(docs, save(prefix_pairs(rest, labels, few), "pairs"), w))
+            links = links.union(verified_links(texts, save(prefix_pairs(rest, labels, few), "pairs"), w))
             labels = components(links)
-    own = sigs.groupBy("node").agg(F.min("k").alias("first"))
+    ids = save(_nodes(docs).select("k", "node"), "ids")
+    own = ids.groupBy("node").agg(F.min("k").alias("first"))
     named = own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
     group = named.groupBy("label").agg(F.min(F.struct("first", "node")).alias("head"), F.count(F.lit(1)).alias("n_texts"))
     by_node = save(named.join(group, "label").select("node", F.col("head.first").alias("class"), (F.col("node") == F.col("head.node")).alias("head"), "n_texts"), "classes")
-    j = sigs.select("k", "node").join(by_node, "node")
+    j = ids.join(by_node, "node")
     return j.select("k", "node", "class", "n_texts", ((F.col("k") == F.col("class")) & F.col("head")).alias("keep"))
 
 
