@@ -164,6 +164,13 @@ def sparse_index_seek(spark, d):
     return lookup.index_seek(cut(runs.sparse_index(log)), log.where("run_id < 3"))
 
 
+@query("sparse_index_seek_all_keys", None)
+def sparse_index_seek_all_keys(spark, d):
+    """Every key of the log in the index of every run."""
+    log = read_changelog(spark, d)
+    return lookup.index_seek(cut(runs.sparse_index(log)), log)
+
+
 _TIER = "CASE WHEN n_bytes < 1250 THEN 0 WHEN n_bytes < 1300 THEN 1 WHEN n_bytes < 1350 THEN 2 ELSE 3 END"
 _STATS = f"{_RUN}, st AS (SELECT run_id, count(*) AS n_keys, CAST(sum({_BYTES}) AS BIGINT) AS n_bytes FROM rr GROUP BY run_id), t AS (SELECT run_id, n_bytes, CAST({_TIER} AS INTEGER) AS tier FROM st)"
 
@@ -202,6 +209,13 @@ def bloom_probe(spark, d):
     return bloom.probe(filters, log).where("maybe").select("key", "run_id")
 
 
+@query("bloom_probe_all_runs", None)
+def bloom_probe_all_runs(spark, d):
+    """Every key that the filter of any run may hold."""
+    log = read_changelog(spark, d).withColumnRenamed("k", "key")
+    return bloom.probe(cut(bloom.build_filters(log)), log).where("maybe").select("key", "run_id")
+
+
 def _bound(name: str) -> str:
     share = {n: s for n, _, s in REPLICAS}[name]
     return f"(SELECT max(event_id) * {share} // 1000 FROM events)"
