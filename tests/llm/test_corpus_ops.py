@@ -75,6 +75,12 @@ def test_lines_short_and_unspaced(spark):
     assert got == {1: (rows[0][1], 0), 2: ("Page 2\n\n8", 3), 3: (f"all rights reserved\n{wide}。", 1)}
 
 
+def test_lines_of_numbers(spark):
+    """Rows of numbers are no template: they are dropped only where they are equal."""
+    rows = [(1, "2019 45 12 33\nsum 7 of 9 rows"), (2, "17 18 19 20\nsum 8 of 3 rows"), (3, "2019  45 12 33")]
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(docs(spark, rows)).collect()} == {1: rows[0][1], 2: "17 18 19 20", 3: ""}
+
+
 # 7
 
 

@@ -7,7 +7,8 @@ stand. The path's hash is the template. A template seen in two or more documents
 recurs: its lines stay in the first document (smallest ``doc_id``) and are
 dropped from all others. Lines of fewer than ``EXACT_TOKENS`` tokens, which
 include those of scripts without spaces, have no fields: their path is all their
-tokens as they stand. Only blank lines (fewer than ``MIN_TOKENS``) have no template.
+tokens as they stand; so is that of lines whose tokens are all variable, such as
+rows of numbers. Only blank lines (fewer than ``MIN_TOKENS``) have no template.
 
 Per template only its first and last document are aggregated (map-side first),
 so a line in a third of all documents costs one row per task; joining templates
@@ -46,7 +47,7 @@ def template(line: str = "_x_line") -> str:
     tokens, exact = (f"filter(split({x}, '{_SPACE}+'), x -> x <> '')" for x in (plain, line))
     # a one-element transform names the tokens, so that they are made once
     path = f"if(size(t) >= {FIELD_TOKENS}, filter(t, (x, i) -> i < {DEPTH} or i % 2 = 0), t)"
-    return f"transform(array({tokens}), t -> if(size(t) < {MIN_TOKENS}, null, xxhash64(size(t), if(size(t) < {EXACT_TOKENS}, {exact}, {path}))))[0]"
+    return f"transform(array({tokens}), t -> if(size(t) < {MIN_TOKENS}, null, xxhash64(size(t), if(size(t) < {EXACT_TOKENS} or not exists(t, x -> x <> '<*>'), {exact}, {path}))))[0]"
 
 
 def recurring(docs: DataFrame) -> DataFrame:
