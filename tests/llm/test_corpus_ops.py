@@ -91,8 +91,7 @@ def links_of(rows):
     sh = {t: neardup.shingles(t) for t in distinct}
     for _, t in rows:
         df.update(sh[t or ""][0].tolist())
-    heavy = {s: c for s, c in df.items() if c >= neardup.HEAVY * total}
-    w = neardup.Weights(total, np.array(list(heavy), dtype=np.uint64), np.array(list(heavy.values()), dtype=np.int64))
+    w = neardup.Weights(total, np.array(list(df), dtype=np.uint64), np.array(list(df.values()), dtype=np.int64))
     inv = defaultdict(list)
     for t in distinct:
         for s in sh[t][0].tolist():
@@ -127,15 +126,47 @@ def test_near(spark, sf, plain):
     assert sum(r["keep"] for r in got) == len({r["class_id"] for r in got})
 
 
-def test_document_frequencies(spark):
-    """Frequent shingles are counted exactly, whichever partitions hold them; rarer ones are left out."""
-    rows = [(i, " ".join(f"w{i}x{j}" for j in range(6)) + (" one two three four five" if i < 30 else "") + (" red green blue black white" if i % 60 == 0 else "")) for i in range(3000)]
-    got = neardup.weigh(docs(spark, rows).repartitionByRange(5, "doc_id"))
+def say(x, n):
+    return " ".join(f"{x}{j}" for j in range(n))
+
+
+@pytest.mark.parametrize("parts", [1, 5, 60])
+def test_document_frequencies(spark, monkeypatch, parts):
+    """Every shingle's documents are counted exactly, however they are dealt over partitions and ranges of hash."""
+    monkeypatch.setattr(neardup, "PART_CHARS", 9_000)
+    rows = [(i, say(f"w{i}x", 6) + (" one two three four five" if i < 30 else "") + (" red green blue black white" if i % 60 == 0 else "")) for i in range(1500)] + [(5000 + i, say("equal", 9)) for i in range(40)] + [(6000, None)]
+    counts, w, n = neardup.shingle_counts(docs(spark, rows).repartition(parts), chunk_chars=3000)
+    assert n > 4
     df = Counter(x for _, t in rows for x in neardup.shingles(t)[0].tolist())
     heavy = {x: c for x, c in df.items() if c >= neardup.HEAVY * len(rows)}
-    assert heavy and sorted(got.keys.tolist()) == sorted(heavy)
-    assert np.allclose(got.idf, [np.log1p(len(rows) / heavy[x]) for x in got.keys.tolist()])
-    assert not len(neardup.weigh(docs(spark, rows).limit(0)).keys)
+    assert heavy and sorted(w.keys.tolist()) == sorted(heavy)
+    assert np.allclose(w.idf, [np.log1p(len(rows) / heavy[x]) for x in w.keys.tolist()])
+    got = {}
+    for r in counts.collect():
+        got.update(zip(np.frombuffer(r["s"], np.uint64).tolist(), np.frombuffer(r["c"], "<u8").tolist(), strict=True))
+    assert got == {x: c for x, c in df.items() if c > 1 and x not in heavy}
+    assert not len(neardup.shingle_counts(docs(spark, rows).limit(0))[1].keys)
+
+
+def test_shingle_batch():
+    """Texts cut into shingles together give what each gives alone, by a plain loop."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(0, 12, 200)] + ["", "one", "a b c d", "a b c d e", " x\ty\n z "]
+
+    def plain(t):
+        h = [neardup._TABLE[w] for w in t.split()]
+        out = Counter()
+        for i in range(max(1, len(h) - 4) if h else 0):
+            v = np.zeros(1, np.uint64)
+            for j, x in enumerate(h[i : i + 5]):
+                v += neardup._mix(np.array([x], np.uint64) * neardup._M[j])
+            out[int(neardup._mix(v)[0])] += 1
+        return sorted(out.items())
+
+    s, n, bounds = neardup.shingle_batch(texts)
+    for i, t in enumerate(texts):
+        assert list(zip(s[bounds[i] : bounds[i + 1]].tolist(), n[bounds[i] : bounds[i + 1]].tolist(), strict=True)) == plain(t)
+    assert (neardup.unpack(neardup.pack(np.sort(s))) == np.sort(s)).all() and not len(neardup.unpack(neardup.pack(s[:0])))
 
 
 def test_near_large_group(spark):
@@ -214,26 +245,31 @@ def test_near_keeps_by_id_and_text(spark):
 def test_near_counts_every_shingle(spark, monkeypatch):
     """Shingles that are not frequent have their own document frequency: a passage of 9 documents in 2011 weighs less than words of one."""
     monkeypatch.setattr(neardup, "PART_CHARS", 20_000)
-    say = lambda x, n: " ".join(f"{x}{j}" for j in range(n))
     rows = [(i, f"{say('shared', 100)} {say(f'own{i}x', 10)}") for i in range(9)] + [(i, say("alone", 60)) for i in (9, 10)] + [(100 + i, say(f"w{i}x", 9)) for i in range(2000)]
     d = docs(spark, rows).repartition(7)
-    w = neardup.weigh(d)
+    counts, w, parts = neardup.shingle_counts(d)
+    assert parts > 1 and not len(w.keys)
     df = Counter(x for _, t in rows for x in neardup.shingles(t)[0].tolist())
-    assert not len(w.keys)
-    for r in neardup.frequencies(d, w).collect():
-        s, n = neardup.shingles(r["text"])
-        assert np.allclose(w.of(s, n, r["freq"]), np.array([np.log1p(len(rows) / df[x]) for x in s.tolist()]) * n)
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(d).collect()}
-    assert all(got[i] == i for i in range(9)) and got[10] == 9
-
-
-def test_near_by_true_frequencies(spark, sf, plain, monkeypatch):
-    """The groups are those of the idf of every shingle, none of them clipped."""
-    with monkeypatch.context() as p:
-        p.setattr(neardup, "HEAVY", 1e-9)  # brute force counts all
-        want = groups(plain)
-    got = neardup.classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()
-    assert Counter((r["doc_id"], r["class_id"]) for r in got) == want
+    sigs = neardup.signatures(d, w)
+    nodes = [r["node"] for r in sigs.where("k < 12").orderBy("k").collect()]
+    pairs = spark.createDataFrame([(nodes[0], n) for n in nodes[1:]], "a binary, b binary")
+    exact = {bytes(r["node"]): r for r in neardup.profiles(d, sigs, pairs, counts, parts, w).collect()}
+    assert set(exact) == {bytes(n) for n in nodes}
+    for (_, t), node in zip(rows[:11], nodes, strict=True):
+        s, n = neardup.shingles(t)
+        r = exact[bytes(node)]
+        assert (np.frombuffer(r["s"], np.uint64) == s).all()
+        assert np.allclose(np.frombuffer(r["w"]), np.array([np.log1p(len(rows) / df[x]) for x in s.tolist()]) * n)
+    got = {r["doc_id"]: r for r in neardup.classes(d).collect()}
+    assert all(got[i]["class_id"] == i and got[i]["n_links"] == 0 for i in range(9)) and got[10]["class_id"] == 9
+
+
+def test_near_links(spark):
+    """Verified links are counted by text, equal texts sharing them."""
+    t = say("w", 60)
+    rows = [(1, t), (2, t + " end"), (3, t), (4, t + " stop"), (5, say("other", 50))]
+    got = {r["doc_id"]: (r["n_texts"], r["n_links"], r["least_sim"] and 0.8 <= r["least_sim"] < 1) for r in neardup.classes(docs(spark, rows)).collect()}
+    assert got == {1: (3, 2, True), 2: (3, 2, True), 3: (3, 2, True), 4: (3, 2, True), 5: (1, 0, None)}
 
 
 def test_samples_are_consistent():

@@ -2,23 +2,26 @@
 
 A document is its five-word shingles (words lower-cased, outer punctuation
 dropped; a shorter text is one shingle) with weight count x idf. The document
-frequency of every shingle is counted over the whole corpus: those in at least
-``HEAVY`` of all documents in tables that every task holds, and all others by a
-shuffle over parts of the hash range, which brings the counts above 1 back to the texts.
-(Chunks of documents report counts of at least ``LOCAL`` x ``HEAVY`` of their own
-documents. A shingle of ``HEAVY`` loses less than ``LOCAL`` of that, so the sum of
-its reports is above 1 - ``LOCAL`` of it; the few that are, are counted exactly in a
-second pass. Their number is bounded by the average length, not by the corpus.)
-``BANDS`` x ``ROWS`` consistent weighted samples give band keys.
+frequency of every shingle is counted exactly: chunks of documents send their
+distinct shingles, sorted and packed by range of hash, in one shuffle, and each
+range keeps those of two or more documents.
+
+Candidates come from ``BANDS`` x ``ROWS`` consistent weighted samples. For these
+alone the idf is read from a table of bounded size that every task holds: exact
+for shingles in at least ``HEAVY`` of all documents, and for the others the mean
+frequency of an occurrence in their ``SLOTS``-th of the hash range. An error of
+it moves the chance that a pair meets, never a verdict: every pair is verified
+by weighted Jaccard similarity of the whole texts with the exact frequencies,
+which are joined to the texts that have a candidate.
 
 Equal texts are one node. In each bucket the ``LEADERS`` nodes of least hash are
 compared with all members, so pairs grow linearly with a bucket, and buckets of
 up to LEADERS + 1 nodes are compared in full. The texts of larger buckets that
 still hold several groups are joined by prefix filtering, which is exact: each
 offers its rarest shingles, up to a fifth of its weight; those that share one
-meet its leaders, then all of other groups that can still be similar. Every pair is verified by weighted
-Jaccard similarity of the whole texts, and links of at least ``SIMILAR`` join
-groups by min-label propagation over tables in the shared folder.
+meet its leaders, then all of other groups that can still be similar. Buckets
+are dealt over ``SALTS``, so a hot one is no single task's. Links of at least
+``SIMILAR`` join groups by min-label propagation over tables in the shared folder.
 
 Edge cases: null and empty texts are equal texts; a null ``doc_id`` comes before
 all others and gives a null ``class_id``; rows of one id and text are one
@@ -27,7 +30,10 @@ document; an empty table gives no rows; other columns pass through ``dedup``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,24 +45,34 @@ from tidemark.session import broadcast_if_small
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS, LEADERS = 14, 3, 4
-HEAVY, LOCAL = 0.005, 0.75
-CHUNK_DOCS, CHUNK_SHINGLES = 2000, 1 << 22
+HEAVY, SLOTS = 0.005, 1 << 20
+CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 24
+BATCH_CHARS = 1 << 20
 PART_CHARS = 1 << 23
-FREQ = np.dtype([("s", "<u8"), ("c", "<u4")])
+DRAWS, SALTS = 1 << 16, 8
+FREQ = np.dtype([("s", "<u8"), ("c", "<u8")])
 MAX_ROUNDS = 60
-SLOTS = 1 << 20
-TABLE_LIMIT = 500_000
+#: Distinct words that a worker remembers, and their characters in all; longer words are hashed anew.
+TABLE_WORDS, TABLE_CHARS, WORD_CHARS = 300_000, 1 << 22, 64
+#: Different texts of a task whose band keys are remembered.
+SIGNED = 20_000
 _NULL = -(2**63)
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class _Words(dict):
+    chars = 0
+
     def __missing__(self, w: str) -> int:
         import xxhash
 
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
-        v = self[w] = xxhash.xxh3_64_intdigest(w.lower().strip(".,;:!?\"'()[]{}#*$%&|<>-") or w)
+        v = xxhash.xxh3_64_intdigest(w.lower().strip(".,;:!?\"'()[]{}#*$%&|<>-") or w)
+        if len(w) <= WORD_CHARS:
+            if len(self) >= TABLE_WORDS or self.chars >= TABLE_CHARS:
+                self.clear()
+                self.chars = 0
+            self.chars += len(w)
+            self[w] = v
         return v
 
 
@@ -68,26 +84,68 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def shingle_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes (sorted within a text) of all texts, their counts, and where each text's begin (one entry more than texts)."""
+    words = [x.split() for x in texts]
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    end = np.cumsum(size)
+    h = np.fromiter(map(_TABLE.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(end[-1]) if len(end) else 0)
+    held = np.concatenate([h, np.zeros(WORDS, np.uint64)])
+    s = np.zeros(len(h), dtype=np.uint64)
+    for j in range(WORDS):
+        s += _mix(held[j : j + len(h)] * _M[j])  # adds _mix(0) = 0 beyond the end
+    first = end - size
+    for i in np.flatnonzero((size < WORDS) & (size > 0)):  # a short text is one shingle of its own words
+        own, v = h[first[i] : end[i]], np.zeros(1, np.uint64)
+        for j in range(len(own)):
+            v += _mix(own[j : j + 1] * _M[j])
+        s[first[i]] = v[0]
+    n = np.where(size > 0, np.maximum(1, size - WORDS + 1), 0)
+    on = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    s = _mix(s[on])
+    ends = np.cumsum(n)
+    for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        s[a:z].sort()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[(ends - n)[n > 0]] = True
+    at = np.flatnonzero(new)
+    return s[at], np.diff(at, append=len(s)), np.searchsorted(at, np.concatenate([[0], ends]))
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes (sorted) and their counts."""
-    words = (text or "").split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(_TABLE.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = max(1, len(h) - WORDS + 1)
-    s = np.zeros(n, dtype=np.uint64)
-    for j in range(min(WORDS, len(h))):
-        s += _mix(h[j : j + n] * _M[j])
-    return np.unique(_mix(s), return_counts=True)
+    return shingle_batch([text or ""])[:2]
+
+
+def in_batches(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) in groups of at most ``BATCH_CHARS`` characters; a longer text is a group of its own."""
+    own, at, size = [], 0, 0
+    for i, x in enumerate(texts):
+        if own and size + len(x) > BATCH_CHARS:
+            yield at, own
+            own, at, size = [], i, 0
+        own.append(x)
+        size += len(x)
+    if own:
+        yield at, own
+
+
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
 class Weights:
-    """idf of shingles; the frequent ones' document counts are in ``keys``, those of a text's others come with it as ``FREQ`` records."""
+    """idf of shingles: those in ``keys`` by their counts, a text's others by the ``FREQ`` records that come with it, all else is in one document.
 
-    def __init__(self, docs: int, keys: np.ndarray, counts: np.ndarray):
+    ``slots`` are mean frequencies by range of hash, which ``estimated`` uses instead of records.
+    """
+
+    def __init__(self, docs: int, keys: np.ndarray, counts: np.ndarray, slots: np.ndarray | None = None):
         order = np.argsort(keys)
-        self.docs, self.keys, self.light = docs, keys[order], np.log1p(1 / HEAVY)
+        self.docs, self.keys = docs, keys[order]
         self.idf = np.log1p(docs / np.maximum(counts[order], 1))
+        self.slots = None if slots is None else np.log1p(docs / slots)
 
     def heavy(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which shingles are frequent, and the places of those in ``keys``."""
@@ -97,203 +155,280 @@ class Weights:
         hit = self.keys[at] == s
         return hit, at[hit]
 
-    def of(self, s: np.ndarray, n: np.ndarray, freq: list[bytes] | None = None) -> np.ndarray:
-        """Weights of a text's shingles: those neither frequent nor in ``freq`` are in one document; without ``freq`` they share the frequency ``HEAVY``."""
-        w = np.full(len(s), self.light if freq is None else np.log1p(self.docs))
-        for x in freq or ():
-            r = np.frombuffer(x, FREQ)
+    def of(self, s: np.ndarray, n: np.ndarray, freq: bytes | None = None) -> np.ndarray:
+        w = np.full(len(s), np.log1p(self.docs))
+        if freq:
+            r = np.frombuffer(freq, FREQ)
             w[np.searchsorted(s, r["s"])] = np.log1p(self.docs / r["c"])
         hit, at = self.heavy(s)
         w[hit] = self.idf[at]
         return w * n
 
+    def estimated(self, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = self.slots[_slot(s)]
+        hit, at = self.heavy(s)
+        w[hit] = self.idf[at]
+        return w * n
 
-def similarity(a: tuple, b: tuple, weights: Weights) -> float:
-    """Weighted Jaccard similarity of two ``shingles`` results, each with its ``freq`` if known; two empty texts are alike."""
-    x, y = weights.of(*a), weights.of(*b)
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(x[i], y[j]).sum()
+
+def jaccard(s: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two texts given as sorted shingles and their weights; two empty texts are alike."""
+    if not len(s) or not len(t):
+        return float(len(s) == len(t))
+    if len(s) > len(t):
+        s, x, t, y = t, y, s, x
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    on = t[at] == s
+    both = np.minimum(x[on], y[at[on]]).sum()
     return float(both / (x.sum() + y.sum() - both))
 
 
-def samples(s: np.ndarray, w: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """``k`` consistent weighted samples: per sample, the hash of the chosen (shingle, quantum)."""
-    best = np.full(k, np.inf, dtype=np.float32)
-    out = np.zeros(k, dtype=np.uint64)
-    salts = _mix(np.arange(1, k + 1, dtype=np.uint64) * _M[0])
-    for i in range(0, len(s), 2048):
-        part, lw = s[i : i + 2048, None], np.log(w[i : i + 2048]).astype(np.float32)[:, None]
-        h = _mix((part ^ salts) * _M[1])
-        g = (h * _M[2]) >> np.uint64(40)
-        u = [((h >> np.uint64(16 * f)) & np.uint64(0xFFFF)).astype(np.float32) for f in range(4)]
-        scale, half = np.float32(1 / 65536), np.float32(0.5)
-        r = -np.log((u[0] + half) * (u[1] + half) * (scale * scale))
-        lc = np.log(-np.log((u[2] + half) * (u[3] + half) * (scale * scale)))
-        beta = g.astype(np.float32) * np.float32(2.0**-24)
+def similarity(a: tuple, b: tuple, weights: Weights) -> float:
+    """``jaccard`` of two ``shingles`` results, each with its ``freq`` if known."""
+    return jaccard(a[0], weights.of(*a), b[0], weights.of(*b))
+
+
+@lru_cache(maxsize=BANDS * ROWS)
+def _draws(j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sample ``j``'s gamma, log gamma and uniform variables; a shingle takes those of its place among ``DRAWS``."""
+    g = np.random.Generator(np.random.PCG64([11, j]))
+    return g.gamma(2, 1, DRAWS).astype(np.float32), np.log(g.gamma(2, 1, DRAWS)).astype(np.float32), g.random(DRAWS, dtype=np.float32)
+
+
+def samples(s: np.ndarray, w: np.ndarray, k: int = BANDS * ROWS, bounds: np.ndarray | None = None) -> np.ndarray:
+    """``k`` consistent weighted samples of each non-empty text: the hash of the chosen (shingle, quantum). Texts lie between ``bounds``."""
+    first = (np.array([0]) if bounds is None else bounds[:-1]).astype(np.int64)
+    size = np.diff(np.append(first, len(s)))
+    lw = np.log(w).astype(np.float32)
+    at = (_mix(s * _M[1]) & np.uint64(DRAWS - 1)).astype(np.int64)
+    out = np.empty((k, len(first)), dtype=np.uint64)
+    for j in range(k):
+        r, lc, beta = (x.take(at) for x in _draws(j))
         t = np.floor(lw / r + beta)
-        a = lc - r * (t - beta) - r
-        row = a.argmin(axis=0)
-        cols = np.arange(k)
-        low = a[row, cols]
-        new = low < best
-        best[new] = low[new]
-        chosen = _mix(s[i + row] * _M[3] + t[row, cols].astype(np.int64).astype(np.uint64))
-        out[new] = chosen[new]
+        a = lc - r * (t - beta + np.float32(1))
+        low = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), size))
+        best = low[np.searchsorted(low, first)]
+        out[j] = _mix(s[best] * _M[3] + t[best].astype(np.int64).astype(np.uint64))
+    return out if bounds is not None else out[:, 0]
+
+
+def band_keys(texts: list[str], weights: Weights) -> list[list[int]]:
+    """Band keys of each text; none for an empty one."""
+    s, n, bounds = shingle_batch(texts)
+    full = np.flatnonzero(np.diff(bounds))
+    out: list[list[int]] = [[] for _ in texts]
+    if len(full):
+        x = samples(s, weights.estimated(s, n), bounds=np.append(bounds[full], len(s)))
+        keys = np.empty((BANDS, len(full)), dtype=np.uint64)
+        for b in range(BANDS):
+            key = np.full(len(full), b, dtype=np.uint64)
+            for r in range(ROWS):
+                key = _mix((key ^ x[b * ROWS + r]) * _M[4])
+            keys[b] = key
+        for i, row in zip(full.tolist(), keys.T.view(np.int64).tolist(), strict=True):
+            out[i] = row
     return out
 
 
-def bands(text: str | None, weights: Weights, freq: list[bytes] | None = None) -> list[int]:
-    """Band keys of a text; none for an empty one."""
-    s, n = shingles(text)
-    if not len(s):
-        return []
-    x = samples(s, weights.of(s, n, freq)).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        key = _mix((key ^ x[:, r]) * _M[4])
-    return key.view(np.int64).tolist()
-
-
 def _nodes(docs: DataFrame) -> DataFrame:
     """(k, node, text): node is the hash of the whole text."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("k"), F.unhex(F.md5(t)).alias("node"), t.alias("text"))
 
 
-def weigh(docs: DataFrame) -> Weights:
-    """Document frequencies of frequent shingles, exact over all documents."""
-    t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def pack(s: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte place by byte place: the high places are mostly zero, which the shuffle's compression removes."""
+    return np.diff(s, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def counted(s: np.ndarray, c: np.ndarray, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.append(s.view(np.int64), 0)), pa.array(np.append(c, n)), pa.array(np.append(np.zeros(len(s), bool), True))], names=["s", "c", "total"])
 
-    def summed(run, label: str) -> tuple[DataFrame, int]:
-        got = save(t.mapInArrow(run, "s long, c long, total boolean").groupBy("s", "total").agg(F.sum("c").alias("c")), label)
-        return got.where("not total"), got.where("total").agg(F.sum("c")).first()[0] or 0
+def unpack(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size = [], 0
 
-        def heavy() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(own), return_counts=True)
-            on = counts >= LOCAL * HEAVY * len(own)
-            return counted(keys[on], counts[on], len(own))
+def _by_part(s: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes; part ``p`` of a power of two holds the p-th range of hashes."""
+    tops = np.arange(1, parts, dtype=np.uint64) << np.uint64(65 - parts.bit_length()) if parts > 1 else np.zeros(0, np.uint64)
+    cuts = [0, *np.searchsorted(s, tops).tolist(), len(s)]
+    return [(p, a, z) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
 
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                own.append(shingles(x)[0])
-                size += len(own[-1])
-                if len(own) >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
-                    yield heavy()
-                    own, size = [], 0
-        if own:
-            yield heavy()
-
-    found, total = summed(chunks, "shingle-candidates")
-    likely = found.where(F.col("c") >= (1 - LOCAL) * HEAVY * total).collect()  # at most average length / HEAVY / (1 - LOCAL) rows
-    keys = np.sort(np.array([r["s"] for r in likely], dtype=np.int64).view(np.uint64))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n = np.zeros(len(keys), dtype=np.int64), 0
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                n += 1
-                s = shingles(x)[0]
-                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                c[at[keys[at] == s]] += 1
-        on = np.flatnonzero(c)
-        yield counted(keys[on], c[on], n)
 
-    rows = summed(count, "shingle-counts")[0].where(F.col("c") >= HEAVY * total).collect() if len(keys) else []
-    return Weights(total, np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["c"] for r in rows], dtype=np.int64))
+def _summed(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``s``, sorted, and the sums of ``c``."""
+    order = np.argsort(s, kind="stable")
+    s, c = s[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def frequencies(docs: DataFrame, weights: Weights) -> DataFrame:
-    """(node, text, freq): every different text, with the ``FREQ`` records of its shingles in two or more documents that are not frequent; saved.
-
-    Shingles are dealt by hash over parts whose number grows with the corpus, packed
-    by chunk of documents, and counted part by part; frequent ones, which would be
-    hot, are not dealt.
-    """
-    nodes = _nodes(docs).select("node", "text")
-    parts = 1 + (nodes.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS
+def shingle_counts(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, Weights, int]:
+    """Saved (p, s, c): per range of hashes the shingles of two or more documents and their counts; the weights for candidates; the number of ranges."""
+    t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total, chars = t.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    parts = min(SLOTS, 1 << max(0, (chars or 0) // PART_CHARS).bit_length())
+    width, least = SLOTS // parts, HEAVY * total
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names, size = [], [], 0
+        own: Counter = Counter()
+        size = 0
 
         def dealt() -> pa.RecordBatch:
-            s, at = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-            p = (s % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(p, kind="stable")
-            cuts = np.flatnonzero(np.diff(p[order])) + 1
-            rows: list[list] = [[], [], [], []]
-            for o in np.split(order, cuts) if len(order) else []:
-                who, place = np.unique(at[o], return_inverse=True)
-                for c, v in zip(rows, (p[o[0]], s[o].tobytes(), place.astype(np.uint16).tobytes(), b"".join([names[i] for i in who])), strict=True):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["p", "s", "place", "who"])
+            once, more = [x for x, n in own.items() if n == 1], [x for x, n in own.items() if n > 1]
+            s = np.concatenate([np.zeros(0, np.uint64), *(shingle_batch(x)[0] for _, x in in_batches(once))])
+            s.sort()
+            at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+            s, c = s[at], np.diff(at, append=len(s))
+            for _, x in in_batches(more):  # an equal text is cut into shingles once
+                u, _, bounds = shingle_batch(x)
+                s, c = _summed(np.concatenate([s, u]), np.concatenate([c, np.repeat([own[y] for y in x], np.diff(bounds))]))
+            rows = [(p, pack(s[a:z]), c[a:z].astype("<u4").tobytes()) for p, a, z in _by_part(s, parts)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["p", "s", "c"])
 
         for b in batches:
-            for node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(x)[0]
-                own.append(s[~weights.heavy(s)[0]])
-                names.append(node)
-                size += len(own[-1])
-                if len(own) >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
+            for x in b.column(0).to_pylist():
+                if x not in own:
+                    size += len(x)
+                own[x] += 1
+                if size >= chunk_chars or len(own) >= CHUNK_DOCS:
                     yield dealt()
-                    own, names, size = [], [], 0
+                    own.clear()
+                    size = 0
         if own:
             yield dealt()
 
-    def count(t: pa.Table) -> pa.Table:
-        who = [x[i : i + 16] for x in t.column("who").to_pylist() for i in range(0, len(x), 16)]
-        base = np.cumsum([0, *(len(x) // 16 for x in t.column("who").to_pylist())])
-        s = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("s").to_pylist()])
-        at = np.concatenate([np.frombuffer(x, np.uint16) + n for n, x in zip(base, t.column("place").to_pylist())])
-        _, back, c = np.unique(s, return_inverse=True, return_counts=True)
-        on = np.flatnonzero(c[back] > 1)
-        on = on[np.argsort(at[on], kind="stable")]
-        r = np.empty(len(on), FREQ)
-        r["s"], r["c"], at = s[on], c[back[on]], at[on]
-        found: dict[bytes, bytes] = {}
-        for x in np.split(np.arange(len(on)), np.flatnonzero(np.diff(at)) + 1) if len(on) else []:
-            found.setdefault(who[at[x[0]]], r[x[0] : x[-1] + 1].tobytes())  # equal texts have equal records
-        return pa.table({"node": pa.array(list(found), pa.binary()), "freq": pa.array(list(found.values()), pa.binary())})
-
-    counted = nodes.mapInArrow(deal, "p long, s binary, place binary, who binary").groupBy("p").applyInArrow(count, "node binary, freq binary")
-    freq = counted.groupBy("node").agg(F.collect_list("freq").alias("freq"))  # at most one record list a part
-    j = nodes.dropDuplicates(["node"]).join(freq, "node", "left")
-    return save(j.select("node", "text", F.coalesce("freq", F.expr("cast(array() as array<binary>)")).alias("freq")), "texts")
-
-
-def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
-    """(node, keys array<long>) of every different text, saved."""
+    def count(key: tuple, t: pa.Table) -> pa.Table:
+        p = key[0].as_py()
+        s, c = _summed(np.concatenate([unpack(x) for x in t.column("s").to_pylist()]), np.concatenate([np.frombuffer(x, "<u4") for x in t.column("c").to_pylist()]).astype(np.int64))
+        many = c >= max(2, least)
+        slot = (_slot(s) - p * width)[~many]
+        light = c[~many].astype(np.float64)
+        n = np.bincount(slot, light, width)
+        mean = np.where(n > 0, np.bincount(slot, light * light, width) / np.maximum(n, 1), 1).astype("<f4")
+        on = (c > 1) & ~many
+        cols = [s[on].tobytes(), c[on].astype("<u8").tobytes(), s[many].tobytes(), c[many].astype("<u8").tobytes(), mean.tobytes()]
+        return pa.table({"p": pa.array([p], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("s", "c", "hs", "hc", "mean"), cols, strict=True)}})
+
+    dealt = t.mapInArrow(deal, "p long, s binary, c binary")
+    counts = save(dealt.groupBy("p").applyInArrow(count, "p long, s binary, c binary, hs binary, hc binary, mean binary"), "shingle-counts")
+    slots, keys, found = np.ones(SLOTS, np.float32), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for r in counts.select("p", "hs", "hc", "mean").toLocalIterator():  # SLOTS means, and at most average length / HEAVY frequent shingles
+        slots[r["p"] * width : (r["p"] + 1) * width] = np.frombuffer(r["mean"], "<f4")
+        keys.append(np.frombuffer(r["hs"], np.uint64))
+        found.append(np.frombuffer(r["hc"], "<u8").astype(np.int64))
+    return counts.select("p", "s", "c"), Weights(total, np.concatenate(keys), np.concatenate(found), slots), parts
+
+
+def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
+    """(k, node, keys array<long>) of every document, saved; a task signs equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[int]] = {}
         for b in batches:
-            keys = [bands(x, weights, f) for x, f in zip(b.column("text").to_pylist(), b.column("freq").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            nodes, texts = b.column("node").to_pylist(), b.column("text").to_pylist()
+            if len(known) > SIGNED:
+                known.clear()
+            new = {n: x for n, x in zip(nodes, texts, strict=True) if n not in known}
+            names = list(new)
+            for at, group in in_batches(list(new.values())):
+                known.update(zip(names[at : at + len(group)], band_keys(group, weights), strict=True))
+            keys = pa.array([known[n] for n in nodes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("node"), keys], names=["k", "node", "keys"])
 
-    return save(texts.mapInArrow(run, "node binary, keys array<long>"), "signatures")
+    return save(_nodes(docs).mapInArrow(run, "k long, node binary, keys array<long>"), "signatures")
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
-    """(bucket, node, n) of the buckets that ``n`` > 1 different texts share, saved."""
-    rows = save(sigs.select("node", F.explode("keys").alias("bucket")), "buckets")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return save(rows.join(shared, "bucket"), "shared-buckets")
+    """(bucket, node, salt) of all different texts, saved."""
+    one = sigs.groupBy("node").agg(F.first("keys").alias("keys"))
+    rows = one.select("node", F.explode("keys").alias("bucket"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    return save(rows, "buckets")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): distinct pairs of a bucket member and one of its bucket's leaders."""
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
-    lead = rows.withColumn("r", rank).where(F.col("r") <= LEADERS).select("bucket", F.col("node").alias("b"))
-    met = rows.select("bucket", "node").join(lead, "bucket").where("node <> b")
+    lead = rows.select("bucket", F.col("node").alias("b"), rank.alias("r")).where(F.col("r") <= LEADERS)
+    lead = save(lead.join(_sizes(rows).where("n > 1").select("bucket"), "bucket", "left_semi").select("bucket", "b"), "leaders")
+    met = rows.join(_salted(lead), ["bucket", "salt"]).where("node <> b")
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
+def profiles(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, counts: DataFrame, parts: int, weights: Weights) -> DataFrame:
+    """(node, s, w): shingles and exact weights of every text that is in some pair, saved.
+
+    One row of each text is taken. Groups of texts ask each range of hashes once and get the counts of two and more back by group.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    first = sigs.groupBy("node").agg(F.min("k").alias("k"))
+    wanted = save(first.join(wanted, "node", "left_semi").select("k", "node"), "pair-nodes")
+    held = _nodes(docs).join(broadcast_if_small(wanted), ["k", "node"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    held = save(held, "pair-texts")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column("node").to_pylist()
+            for at, group in in_batches(b.column("text").to_pylist()):
+                s, _, bounds = shingle_batch(group)
+                owner = np.repeat(np.arange(len(group)), np.diff(bounds))
+                order = np.argsort(s, kind="stable")
+                s, owner = s[order], owner[order].astype("<u4")
+                rows = [(p, names[at], s[a:z].tobytes(), owner[a:z].tobytes()) for p, a, z in _by_part(s, parts)]
+                rows.append((-1, names[at], b"".join(names[at : at + len(group)]), b""))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["p", "chunk", "s", "own"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in known.column("s").to_pylist())])
+        c = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in known.column("c").to_pylist())])
+        out: list[list] = [[], [], []]
+        for chunk, s, own in zip(*(asked.column(x).to_pylist() for x in ("chunk", "s", "own")), strict=True):
+            s, own = np.frombuffer(s, np.uint64), np.frombuffer(own, "<u4")
+            at = np.minimum(np.searchsorted(keys, s), max(0, len(keys) - 1))
+            hit = keys[at] == s if len(keys) else np.zeros(len(s), bool)
+            if hit.any():
+                r = np.empty(int(hit.sum()), FREQ)
+                r["s"], r["c"] = s[hit], c[at[hit]]
+                for x, v in zip(out, (chunk, r.tobytes(), own[hit].tobytes()), strict=True):
+                    x.append(v)
+        return pa.table({k: pa.array(v, pa.binary()) for k, v in zip(("chunk", "s", "own"), out, strict=True)})
+
+    def gather(t: pa.Table) -> pa.Table:
+        names, recs, own = b"", [np.zeros(0, FREQ)], [np.zeros(0, "<u4")]
+        for p, s, o in zip(*(t.column(x).to_pylist() for x in ("p", "s", "own")), strict=True):
+            if p == -1:
+                names = s
+            else:
+                recs.append(np.frombuffer(s, FREQ))
+                own.append(np.frombuffer(o, "<u4"))
+        r, o = np.concatenate(recs), np.concatenate(own)
+        order = np.lexsort((r["s"], o))
+        r, cuts = r[order], np.searchsorted(o[order], np.arange(len(names) // 16 + 1))
+        return pa.table({"node": pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()), "freq": pa.array([r[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, freq = b.column("text").to_pylist(), b.column("freq").to_pylist()
+            keys, sums = [], []
+            for at, group in in_batches(texts):
+                s, n, bounds = shingle_batch(group)
+                for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    keys.append(s[a:z].tobytes())
+                    sums.append(weights.of(s[a:z], n[a:z], freq[at + i]).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], names=["node", "s", "w"])
+
+    asked = save(held.mapInArrow(ask, "p long, chunk binary, s binary, own binary"), "shingles-asked")
+    got = asked.where("p >= 0").groupBy("p").cogroup(counts.groupBy("p")).applyInArrow(answer, "chunk binary, s binary, own binary")
+    back = got.select(F.lit(0).cast("long").alias("p"), "chunk", "s", "own").unionByName(asked.where("p = -1"))
+    freq = back.groupBy("chunk").applyInArrow(gather, "node binary, freq binary")
+    return save(held.join(freq, "node").mapInArrow(weigh, "node binary, s binary, w binary"), "profiles")
+
+
 def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The leading shingles, by ``rank`` and hash, without which less than ``SIMILAR`` of the weight is left, and the weight from each on.
 
@@ -313,44 +448,34 @@ def rest_prefixes(texts: DataFrame, rows: DataFrame, labels: DataFrame, weights:
     """(s, rest, w, node): prefixes of the texts in buckets too large for their leaders that hold several groups, saved; None if there are none.
 
     The texts of such buckets share a prefix shingle if they are similar. Shingles
-    are ranked by a count of ``SLOTS`` hash slots over these texts, so a prefix
-    holds a text's rarest shingles; the ranking affects cost only.
+    are ranked by the weights' table, so a prefix holds a text's rarest shingles;
+    the ranking affects cost only.
     """
-    large = rows.where(F.col("n") > LEADERS + 1).select("bucket", "node")
-    own = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    several = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    nodes = save(own.join(several, "bucket", "left_semi").select("node").distinct(), "rest-nodes")
+    large = _salted(_sizes(rows).where(F.col("n") > LEADERS + 1).select("bucket"))
+    own = rows.join(large, ["bucket", "salt"]).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    own = save(own, "large-buckets")
+    several = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    several = _salted(several.select("bucket"))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    nodes = save(own.join(several, ["bucket", "salt"], "left_semi").select("node").distinct(), "rest-nodes")
     if nodes.limit(1).count() == 0:
         return None
-    held = save(texts.join(broadcast_if_small(nodes), "node"), "rest-texts")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros(SLOTS, dtype=np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                np.add.at(c, (shingles(x)[0] % np.uint64(SLOTS)).astype(np.int64), 1)
-        on = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(c[on])], names=["slot", "c"])
-
-    counted = held.select("text").mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # at most SLOTS rows
-    slots = np.zeros(SLOTS, dtype=np.int32)
-    slots[counted.column("slot").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for b in batches:
             keys, at, left, sums = [], [], [], []
-            for i, (x, f) in enumerate(zip(batch.column("text").to_pylist(), batch.column("freq").to_pylist(), strict=True)):
-                s, n = shingles(x)
-                w = weights.of(s, n, f)
-                p, rest = prefix(s, w, slots[(s % np.uint64(SLOTS)).astype(np.int64)])
+            for i, (x, y) in enumerate(zip(b.column("s").to_pylist(), b.column("w").to_pylist(), strict=True)):
+                s, w = np.frombuffer(x, np.uint64), np.frombuffer(y)
+                p, rest = prefix(s, w, -weights.estimated(s, 1))
                 keys.append(p)
                 at.append(np.full(len(p), i))
                 left.append(rest)
                 sums.append(np.full(len(p), w.sum()))
-            named = batch.column("node").take(pa.array(np.concatenate(at), pa.int64()))
+            named = b.column("node").take(pa.array(np.concatenate(at), pa.int64()))
             numbers = [np.concatenate(keys).view(np.int64), np.concatenate(left), np.concatenate(sums)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), named], names=["s", "rest", "w", "node"])
 
+    held = texts.join(broadcast_if_small(nodes), "node", "left_semi").select("node", "s", "w")
     return save(held.mapInArrow(run, "s long, rest double, w double, node binary"), "prefixes")
 
 
@@ -368,30 +493,23 @@ def prefix_pairs(found: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def verified_links(texts: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
-    """(a, b, sim) of the pairs whose whole texts are similar enough; only texts in some pair are shuffled."""
-    if pairs.limit(1).count() == 0:
-        return texts.sparkSession.createDataFrame([], "a binary, b binary, sim double")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = save(texts.join(broadcast_if_small(wanted), "node", "left_semi"), "pair-texts")
-    j = pairs.join(held.withColumnsRenamed({"node": "b", "text": "tb", "freq": "fb"}), "b").join(held.withColumnsRenamed({"node": "a", "text": "ta", "freq": "fa"}), "a")
+def verified_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, sim) of the pairs whose whole texts are similar enough, saved; only profiles in some pair are shuffled."""
+    j = pairs.join(texts.withColumnsRenamed({"node": "b", "s": "sb", "w": "wb"}), "b").join(texts.withColumnsRenamed({"node": "a", "s": "sa", "w": "wa"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, tuple] = {}
             a, b, sims = [], [], []
-            for x, y, tx, ty, fx, fy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb", "fa", "fb")), strict=True):
-                for node, text, freq in ((x, tx, fx), (y, ty, fy)):
-                    if node not in known:
-                        known[node] = (*shingles(text), freq)
-                s = similarity(known[x], known[y], weights)
+            for i, (x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                sa, wa, sb, wb = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("sa", np.uint64), ("wa", float), ("sb", np.uint64), ("wb", float)))
+                s = jaccard(sa, wa, sb, wb)
                 if s >= SIMILAR:
                     a.append(x)
                     b.append(y)
                     sims.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return save(j.select("a", "b", "ta", "tb", "fa", "fb").mapInArrow(run, "a binary, b binary, sim double"), "links")
+    return save(j.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary, sim double"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -412,30 +530,40 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(k, node, class, n_texts, keep) of every row; of a group's texts under its smallest id, the one of least hash stays."""
-    w = weigh(docs)
-    texts = frequencies(docs, w)
-    rows = buckets(signatures(texts, w))
-    links = verified_links(texts, save(candidate_pairs(rows), "pairs"), w)
+    """(k, node, class, n_texts, n_links, least_sim, keep) of every row; of a group's texts under its smallest id, the one of least hash stays."""
+    counts, w, parts = shingle_counts(docs)
+    sigs = signatures(docs, w)
+    rows = buckets(sigs)
+    pairs = save(candidate_pairs(rows), "pairs")
+    texts = profiles(docs, sigs, pairs, counts, parts, w)
+    links = verified_links(texts, pairs)
     labels = components(links)
     rest = rest_prefixes(texts, rows, labels, w)
     if rest is not None:
         for few in (True, False):  # what leaders join need not meet again
-            links = links.union(verified_links(texts, save(prefix_pairs(rest, labels, few), "pairs"), w))
-            labels = components(links)
-    ids = save(_nodes(docs).select("k", "node"), "ids")
+            more = save(prefix_pairs(rest, labels, few), "pairs")
+            if more.limit(1).count():
+                links = links.union(verified_links(texts, more))
+                labels = components(links)
+    linked = links.select("a", "b", "sim").distinct()
+    ends = linked.select(F.explode(F.array("a", "b")).alias("node"), "sim").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"), F.min("sim").alias("least_sim"))
+    ids = sigs.select("k", "node")
     own = ids.groupBy("node").agg(F.min("k").alias("first"))
-    named = own.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first")
+    named = own.join(labels, "node", "left").join(ends, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "least_sim")
     group = named.groupBy("label").agg(F.min(F.struct("first", "node")).alias("head"), F.count(F.lit(1)).alias("n_texts"))
-    by_node = save(named.join(group, "label").select("node", F.col("head.first").alias("class"), (F.col("node") == F.col("head.node")).alias("head"), "n_texts"), "classes")
+    by_node = save(named.join(group, "label").select("node", F.col("head.first").alias("class"), (F.col("node") == F.col("head.node")).alias("head"), "n_texts", "n_links", "least_sim"), "classes")
     j = ids.join(by_node, "node")
-    return j.select("k", "node", "class", "n_texts", ((F.col("k") == F.col("class")) & F.col("head")).alias("keep"))
+    return j.select("k", "node", "class", "n_texts", "n_links", "least_sim", ((F.col("k") == F.col("class")) & F.col("head")).alias("keep"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_texts, keep): ``class_id`` is the smallest id of the group, whose document stays."""
+    """(doc_id, class_id, n_texts, n_links, least_sim, keep).
+
+    ``class_id`` is the smallest id of the group, whose document stays; ``n_texts`` counts the group's different texts;
+    ``n_links`` counts the verified links of the document's text to other texts, and ``least_sim`` is the weakest of them.
+    """
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return _classes(docs).select(back("k").alias("doc_id"), back("class").alias("class_id"), "n_texts", "keep")
+    return _classes(docs).select(back("k").alias("doc_id"), back("class").alias("class_id"), "n_texts", "n_links", "least_sim", "keep")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
