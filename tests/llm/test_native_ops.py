@@ -65,6 +65,77 @@ def test_quality_bounds_adapt(spark):
     assert all(got[i] for i in range(60)) and all(got[100 + i] for i in range(60)) and not got[200]
 
 
+def brute_bounds(rows):
+    """Bounds of {(lang, source): ...} from exact quantiles, by plain loops."""
+    import numpy as np
+
+    def ratios(t):
+        n, chars, symbols, dup, rep = counts(t)
+        lines = len([x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        return {"symbols": symbols / max(n, 1), "dup_lines": dup / (lines + 10), "repeats": rep / (n + 100), "chars": chars / max(n, 1)}
+
+    def quantile(a, u):
+        return a[max(0, int(np.ceil(round(u * len(a), 6))) - 1)]
+
+    def bound(values, k, side):
+        a = sorted(values if side == "hi" else [-x for x in values])
+        inner, at = quantile(a, quality.INNER), [quantile(a, min(1.0, quality.FROM + quality.STEP * i)) for i in range(81)]
+        got = at[-1]
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            if y - x > max(x - inner, quality.LEAST_JUMP[k]):
+                got = x + quality.INTO * (y - x)
+                break
+        return got if side == "hi" else -got
+
+    def all_bounds(rs):
+        return {(k, s): bound([r[k] for r in rs], k, s) for k, s in quality.SIDES}
+
+    def drawn(own, n, outer):
+        return {k: (n * v + quality.PRIOR * outer[k]) / (n + quality.PRIOR) for k, v in own.items()}
+
+    made = [(lang, source, ratios(t), counts(t)) for t, lang, source in rows]
+    passed = [(x, y, r) for x, y, r, c in made if not (c[0] < 20 or 100 * c[4] > 30 * c[0])]
+    whole = all_bounds([r for _, _, r in passed])
+    out = {}
+    for lang in {x for x, _, _ in passed}:
+        own = [r for x, _, r in passed if x == lang]
+        by_lang = drawn(all_bounds(own), len(own), whole)
+        for source in {y for x, y, _ in passed if x == lang}:
+            g = [r for x, y, r in passed if (x, y) == (lang, source)]
+            out[lang, source] = drawn(all_bounds(g), len(g), by_lang)
+    return out, made
+
+
+def test_quality_bounds_by_exact_quantiles(spark, sf):
+    """Verdicts agree with exact quantiles, bounds differ between sources, and labels are followed."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in d.select("doc_id", "text", "lang", "source").collect()]
+    bounds, made = brute_bounds([r[1:] for r in rows])
+    want = {}
+    for (i, *_), (lang, source, r, c) in zip(rows, made, strict=True):
+        b = bounds.get((lang, source), {})
+        odd = any(r[k] > v if s == "hi" else r[k] < v for (k, s), v in b.items())
+        want[i] = not (c[0] < 20 or 100 * c[4] > 30 * c[0]) and not odd
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(d).collect()}
+    assert sum(got[i] != want[i] for i in got) <= 0.005 * len(got)
+    for k in quality.SIDES:
+        assert len({round(b[k], 3) for b in bounds.values()}) > 10, k
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    passed = [(label[i], got[i]) for (i, *_), (_, _, _, c) in zip(rows, made, strict=True) if i in label and not (c[0] < 20 or 100 * c[4] > 30 * c[0])]
+    assert sum(k for q, k in passed if q == 1) >= 0.99 * sum(q == 1 for q, _ in passed)
+    assert sum(k for q, k in passed if q == 0) <= 0.15 * sum(q == 0 for q, _ in passed)
+
+
+def test_quality_salted_join(spark, monkeypatch):
+    """Where the bounds are too many to broadcast, a salted join gives the same verdicts."""
+    rows = [(i, " ".join(f"w{j}" for j in range(30)) + (" #" * 25 if i % 9 == 0 else "")) for i in range(90)]
+    d = docs(spark, rows)
+    want = sorted(tuple(r) for r in quality.judge(d).collect())
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in quality.judge(d).collect()) == want
+    assert {i: k for i, *_, k in want} == {i: i % 9 != 0 for i in range(90)}
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
