@@ -13,6 +13,7 @@ from fixtures import AWKWARD, docs  # noqa: E402
 
 from tidemark.llm import lines, neardup, packing, quality, secrets  # noqa: E402
 from tidemark.llm.queries import LLM_QUERIES  # noqa: E402
+from tidemark.llm.word_hash import word_hashes  # noqa: E402
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -22,30 +23,69 @@ def plain(spark, sf):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
 
 
+def say(x, n):
+    return " ".join(f"{x}{j}" for j in range(n))
+
+
 # 6
 
 
-def template(line):
-    t = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
-    t = ["<*>" if re.search("[0-9@]", x) else x for x in t]
-    if len(t) < lines.MIN_TOKENS:
-        return None
-    return len(t), tuple(x for i, x in enumerate(t) if len(t) < lines.FIELD_TOKENS or i < lines.DEPTH or i % 2 == 0)
+def tokens_of(line):
+    return tuple(x for x in re.split(r"[\x20\x09-\x0D]+", line) if x)
+
+
+def learned(rows):
+    """{line tokens: keys} by both trees, with plain loops over whole tokens."""
+    all_lines = {tokens_of(x) for _, t in rows for x in (t or "").split("\n")} - {()}
+    mask = lambda x: "<*>" if re.search("[0-9@]", x) else x
+    out = {t: {("own", t)} for t in all_lines}
+    for tree in ("lead", "trail"):
+        leaves = defaultdict(list)
+        for t in all_lines:
+            m = tuple(map(mask, t))
+            leaves[(tree, len(t), m[: lines.DEPTH] if tree == "lead" else m[::-1][: lines.DEPTH])].append((t, m))
+        for leaf, own in leaves.items():
+            if len(own) < 2:
+                continue
+            counts = [Counter(c) for c in zip(*(m for _, m in own), strict=True)]
+            top = [c.most_common() for c in counts]
+            tied = any(len(c) > 1 and c[0][1] == c[1][1] for c in top)
+            pattern = [c[0][0] for c in top]
+            for t, m in own:
+                if tied:  # ties are broken by hash: take the pattern from the operator's own tokens
+                    pattern = tied_pattern([x for x, _ in own])
+                    same = sum(x == y != 0 for x, y in zip(codes(t), pattern, strict=True))
+                    wild = sum(x == y == 0 for x, y in zip(codes(t), pattern, strict=True))
+                else:
+                    same = sum(x == y != "<*>" for x, y in zip(m, pattern, strict=True))
+                    wild = sum(x == y == "<*>" for x, y in zip(m, pattern, strict=True))
+                if same >= lines.LEAST_CONSTANT and same >= lines.SIMILAR * (len(t) - wild):
+                    out[t].add(leaf)
+    return out
+
+
+def codes(t):
+    return tuple(lines.hashed_lines(" ".join(t).encode())[3].tolist())
+
+
+def tied_pattern(own):
+    return [max(Counter(c).items(), key=lambda x: (x[1], x[0]))[0] for c in zip(*map(codes, own), strict=True)]
 
 
 def brute_lines(rows):
-    where = defaultdict(set)
+    where, keys = defaultdict(set), learned(rows)
     key = lambda i: -(2**63) if i is None else i
     for i, t in rows:
         for x in (t or "").split("\n"):
-            where[template(x)].add(key(i))
+            for k in keys.get(tokens_of(x), ()):
+                where[k].add(key(i))
     out = Counter()
     for i, t in rows:
         if t is None:
             out[(i, None, 0, 0)] += 1
             continue
         own = t.split("\n")
-        left = [x for x in own if template(x) is None or min(where[template(x)]) == key(i)]
+        left = [x for x in own if all(min(where[k]) == key(i) for k in keys.get(tokens_of(x), ()))]
         out[(i, "\n".join(left), len(own), len(own) - len(left))] += 1
     return out
 
@@ -81,6 +121,44 @@ def test_lines_of_numbers(spark):
     assert {r["doc_id"]: r["text"] for r in lines.dedup(docs(spark, rows)).collect()} == {1: rows[0][1], 2: "17 18 19 20", 3: ""}
 
 
+def test_lines_one_word_edits(spark):
+    """A one-word edit at any place, first and last included, is a field; prose that only begins or ends alike is not."""
+    name = lambda *n: "".join(chr(97 + x) for x in n)
+    rows = [(1, " ".join(name(20, 20, j) for j in range(9)))]
+    for p in range(9):
+        w = [name(p, j) for j in range(9)]
+        rows += [(10 + p, " ".join(w)), (30 + p, " ".join([*w[:p], "edit", *w[p + 1 :]]))]
+    rows += [(60 + i, " ".join(["the", "cat", *(name(21, i, j) for j in range(7))])) for i in range(20)]
+    rows += [(90 + i, " ".join([*(name(22, i, j) for j in range(7)), "of", "it"])) for i in range(20)]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup(docs(spark, rows), counts=True).collect()}
+    assert all(got[30 + p] == 1 and got[10 + p] == 0 for p in range(9)) and got[1] == 0
+    assert not any(got[i] for i in [*range(60, 80), *range(90, 110)])
+
+
+def test_lines_recall(plain, sf, spark):
+    """Lines of 4 to 80 tokens that differ from one of an earlier document in one word: nearly all go."""
+    first = {}
+    for i, t in sorted(plain):
+        for x in (t or "").split("\n"):
+            first.setdefault(tokens_of(x), i)
+    by = defaultdict(set)
+    for t in first:
+        if 4 <= len(t) <= 80:
+            for p in range(len(t)):
+                by[t[:p], t[p + 1 :]].add(t)
+    late = {t for ts in by.values() for t in ts if first[t] > min(first[x] for x in ts)}
+    left = {tokens_of(x) for r in LLM_QUERIES["op6_line_dedup"](spark, sf).collect() for x in (r["text"] or "").split("\n")}
+    assert late and len(late - left) >= 0.95 * len(late)
+
+
+def test_lines_broadcast_or_not(spark, monkeypatch):
+    rows = [(i, f"User {chr(97 + i % 26) * 3} logged in from host h{i} at noon\nshared line of five words\nown {say(f'o{i}x', 6)}") for i in range(50)]
+    want = sorted(tuple(r) for r in lines.dedup(docs(spark, rows)).collect())
+    monkeypatch.setattr(lines, "broadcast_if_small", lambda df: df)
+    assert sorted(tuple(r) for r in lines.dedup(docs(spark, rows)).collect()) == want
+    assert sum("shared" in r[1] for r in want) == 1 and sum("logged" in r[1] for r in want) == 1
+
+
 # 7
 
 
@@ -126,10 +204,6 @@ def test_near(spark, sf, plain):
     assert sum(r["keep"] for r in got) == len({r["class_id"] for r in got})
 
 
-def say(x, n):
-    return " ".join(f"{x}{j}" for j in range(n))
-
-
 @pytest.mark.parametrize("parts", [1, 5, 60])
 def test_document_frequencies(spark, monkeypatch, parts):
     """Every shingle's documents are counted exactly, however they are dealt over partitions and ranges of hash."""
@@ -154,7 +228,8 @@ def test_shingle_batch():
     texts = [" ".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(0, 12, 200)] + ["", "one", "a b c d", "a b c d e", " x\ty\n z "]
 
     def plain(t):
-        h = [neardup._TABLE[w] for w in t.split()]
+        outer = ".,;:!?\"'()[]{}#*$%&|<>-"
+        h = [int(word_hashes((w.strip(outer) or w).encode())[0][0]) for w in t.lower().split()]
         out = Counter()
         for i in range(max(1, len(h) - 4) if h else 0):
             v = np.zeros(1, np.uint64)

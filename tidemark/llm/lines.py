@@ -1,19 +1,27 @@
 """Operator 6: line dedup by a log-template tree of fixed depth.
 
-A line's path in the tree is its token count, its ``DEPTH`` leading tokens and,
-from ``FIELD_TOKENS`` tokens on, every second token after them: the positions in
-between are fields. Tokens with a digit or ``@`` are variable wherever they
-stand. The path's hash is the template. A template seen in two or more documents
-recurs: its lines stay in the first document (smallest ``doc_id``) and are
-dropped from all others. Lines of fewer than ``EXACT_TOKENS`` tokens, which
-include those of scripts without spaces, have no fields: their path is all their
-tokens as they stand; so is that of lines whose tokens are all variable, such as
-rows of numbers. Only blank lines (fewer than ``MIN_TOKENS``) have no template.
-
-Per template only its first and last document are aggregated (map-side first),
-so a line in a third of all documents costs one row per task; joining templates
-back to lines is a broadcast when counted as few, else a join that AQE splits
-where it is skewed. Texts are shuffled once at most.
+A line's leaf is its token count and its ``DEPTH`` leading tokens; in a second
+tree it is the count and the ``DEPTH`` last tokens, which serves lines whose
+field comes first. Tokens with a digit or ``@`` are variable: in the tree they
+stand for each other. Fields are learned in every leaf that holds different
+lines: the distinct lines' tokens are counted by position (aggregated map-side,
+so a hot leaf is never gathered), and the most frequent one of each position
+makes the leaf's pattern. A line belongs to the template if it equals the
+pattern in ``LEAST_CONSTANT`` positions and in ``SIMILAR`` of those that are not
+variable in both; where it differs is a field. All other lines, such as rows of
+numbers or prose that only begins alike, are templates of their own, equal to
+lines of the same tokens only.
+
+A template with lines in two or more documents recurs: its lines stay in the
+first document (smallest ``doc_id``) and are dropped from all others. Blank
+lines have no template. One rule holds for lines of every length and script.
+
+Tokens are compared by 16 bits of their hash within a leaf, so two different
+tokens pass as equal once in 65535. Only first and last documents are aggregated
+per line and per template, so a line in a third of all documents costs one row
+per task; the recurring ones are joined back as a broadcast when their bytes are
+counted as few, else by a join that AQE splits where it is skewed. Texts are
+shuffled once at most.
 
 Edge cases: a null text stays null, an empty one empty; a null ``doc_id`` is a
 document before all others; rows of one ``doc_id`` are one document; a text that
@@ -24,46 +32,138 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import save
+from tidemark.llm.word_hash import byte_table, word_hashes
 from tidemark.session import broadcast_if_small
 
-DEPTH, FIELD_TOKENS, EXACT_TOKENS, MIN_TOKENS = 3, 12, 4, 1
-_SPACE = r"[\\x20\\x09-\\x0D]"
-_OTHER = r"[^\\x20\\x09-\\x0D]"
+DEPTH, SIMILAR, LEAST_CONSTANT = 2, 0.75, 3
+SALTS = 8
+#: Lines tokenised at once are of texts of about this many characters.
+BATCH_CHARS = 1 << 18
+_VARIABLE = byte_table("0123456789@")
+_M = np.uint64(0x9E3779B97F4A7C15)
+_WILD = 1  # the lowest bit of a token's hash tells variable ones
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+
+
+def _leaf(h: np.ndarray, n: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
+    """Leaf of each line from its tokens at the places ``at`` (one row per depth, -1 where a line is shorter)."""
+    out = _mix(n.astype(np.uint64) * _M + np.uint64(side))
+    for row in at:
+        t = h[np.maximum(row, 0)]
+        t = np.where(row < 0, np.uint64(0), np.where(t & np.uint64(_WILD), np.uint64(_WILD), t))
+        out = _mix(out ^ t)
+    return out
+
+
+def hashed_lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-blank ones among the \\n-split lines: their numbers, hashes, leaves (one row per tree), 16-bit tokens (0 for variable ones), and where each line's tokens begin."""
+    h, at, variable = word_hashes(data, mark=_VARIABLE)
+    h = _mix(h) & ~np.uint64(_WILD) | variable.astype(np.uint64)
+    feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    n = np.diff(np.concatenate([[0], np.searchsorted(at, feeds), [len(h)]]))
+    on = np.flatnonzero(n)
+    n = n[on]
+    end = np.cumsum(n)
+    first = end - n
+    place = (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64)
+    line = _mix(np.add.reduceat(_mix(h + place * _M), first) + n.astype(np.uint64)) if len(on) else h
+    depth = np.arange(DEPTH)[:, None]
+    lead, trail = np.where(depth < n, first + depth, -1), np.where(depth < n, end - 1 - depth, -1)
+    leaves = np.stack([_leaf(h, n, lead, 0), _leaf(h, n, trail, 1)]) if len(on) else np.zeros((2, 0), np.uint64)
+    tokens = np.where(h & np.uint64(_WILD), 0, 1 + (h >> np.uint64(48)) % np.uint64(65535)).astype("<u2")
+    return on, line, leaves, tokens, np.append(first, len(h))
 
 
 def _doc() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def template(line: str = "_x_line") -> str:
-    """SQL of the template hash of ``line``; null for blank lines."""
-    plain = f"if(rlike({line}, '[0-9@]'), regexp_replace({line}, '(?<!{_OTHER}){_OTHER}*?[0-9@]{_OTHER}*', '<*>'), {line})"
-    tokens, exact = (f"filter(split({x}, '{_SPACE}+'), x -> x <> '')" for x in (plain, line))
-    # a one-element transform names the tokens, so that they are made once
-    path = f"if(size(t) >= {FIELD_TOKENS}, filter(t, (x, i) -> i < {DEPTH} or i % 2 = 0), t)"
-    return f"transform(array({tokens}), t -> if(size(t) < {MIN_TOKENS}, null, xxhash64(size(t), if(size(t) < {EXACT_TOKENS} or not exists(t, x -> x <> '<*>'), {exact}, {path}))))[0]"
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """(d, t, pos, line, lead, trail, tokens) of every non-blank line, saved; t is the hash of the whole text."""
+    own = docs.where("text is not null").select(_doc().alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, at = b.column("text").to_pylist(), 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
+                    size += len(texts[end])
+                    end += 1
+                data = [x.encode() for x in texts[at:end]]
+                n = np.array([x.count(b"\n") + 1 for x in data], np.int64)
+                on, line, leaves, tokens, cuts = hashed_lines(b"\n".join(data))
+                owner = np.repeat(np.arange(at, end), n)[on]
+                pos = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[on]
+                held = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer((2 * cuts).astype("<i4")), pa.py_buffer(tokens)])
+                cols = [b.column("d").take(pa.array(owner)), b.column("t").take(pa.array(owner)), pa.array(pos.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (line, *leaves)), held]
+                yield pa.RecordBatch.from_arrays(cols, names=["d", "t", "pos", "line", "lead", "trail", "tokens"])
+                at = end
+
+    return save(own.mapInArrow(run, "d long, t long, pos int, line long, lead long, trail long, tokens binary"), "line-keys")
+
+
+def templates(keyed: DataFrame, tree: str) -> DataFrame:
+    """(line, key): the lines that belong to a learned template of one tree; ``key`` is its leaf."""
+    several = keyed.groupBy(tree).agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select(tree)
+    own = keyed.join(broadcast_if_small(save(several, "line-leaves")), tree, "left_semi")
+    own = save(own.groupBy(F.col(tree).alias("leaf"), "line").agg(F.first("tokens").alias("tokens")), "leaf-lines")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = [np.frombuffer(x, "<u2") for x in b.column("tokens")[i : i + 1000].to_pylist()]
+                n = np.array([len(x) for x in part], np.int64)
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                leaf = b.column("leaf").take(pa.array(i + np.repeat(np.arange(len(part)), n)))
+                yield pa.RecordBatch.from_arrays([leaf, pa.array(place.astype(np.int32)), pa.array(np.concatenate(part).astype(np.int32))], names=["leaf", "place", "token"])
+
+    counted = own.select("leaf", "tokens").mapInArrow(tokens, "leaf long, place int, token int").groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    pattern = top.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("pattern"))  # as long as a line
+    dealt = own.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
+    j = dealt.join(pattern.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["leaf", "salt"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = []
+            for i in range(b.num_rows):
+                x, y = np.frombuffer(b.column("tokens")[i].as_buffer(), "<u2"), b.column("pattern")[i].values.to_numpy()
+                same, wild = int(((x == y) & (x != 0)).sum()), int(((x == 0) & (y == 0)).sum())
+                on.append(same >= LEAST_CONSTANT and same >= SIMILAR * (len(x) - wild))
+            yield b.select(["line", "leaf"]).rename_columns(["line", "key"]).filter(pa.array(on, pa.bool_()))
+
+    return save(j.select("line", "leaf", "tokens", "pattern").mapInArrow(match, "line long, key long"), "line-templates")
 
 
 def recurring(docs: DataFrame) -> DataFrame:
     """(_x_d, _x_t, _x_pos): places of lines to drop, by document and text hash."""
-    own = docs.where("text is not null").select(_doc().alias("_x_d"), F.xxhash64("text").alias("_x_t"), F.posexplode(F.split("text", "\n", -1)).alias("_x_pos", "_x_line"))
-    keyed = save(own.select("_x_d", "_x_t", "_x_pos", F.expr(template()).alias("_x_key")).where("_x_key is not null"), "line-keys")
-    seen = keyed.groupBy("_x_key").agg(F.min("_x_d").alias("_x_first"), F.max("_x_d").alias("_x_last")).where("_x_first < _x_last")
-    again = save(seen.select("_x_key", "_x_first"), "line-templates")
-    return keyed.join(broadcast_if_small(again), "_x_key").where("_x_d > _x_first").select("_x_d", "_x_t", "_x_pos")
+    keyed = keyed_lines(docs)
+    lines = save(keyed.groupBy("line").agg(F.min("d").alias("first"), F.max("d").alias("last")), "lines")
+    named = save(templates(keyed, "lead").union(templates(keyed, "trail")).join(lines, "line"), "named-lines")
+    by_key = named.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last")
+    shared = named.select("line", "key").join(by_key, "key").select("line", "first")
+    again = shared.union(lines.where("first < last").select("line", "first")).groupBy("line").agg(F.min("first").alias("first"))
+    again = save(again, "lines-again")
+    return keyed.select("d", "t", "pos", "line").join(broadcast_if_small(again), "line").where("d > first").select(F.col("d").alias("_x_d"), F.col("t").alias("_x_t"), F.col("pos").alias("_x_pos"))
 
 
 def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
     """The documents without recurring lines, same columns (``n_chars`` follows the text); with ``counts`` also ``n_lines`` and ``n_dropped``."""
     drops = save(recurring(docs).groupBy("_x_d", "_x_t").agg(F.collect_set("_x_pos").alias("_x_drop")), "line-drops")  # one document's own lines
     d = docs.withColumn("_x_d", _doc()).withColumn("_x_t", F.xxhash64("text"))
-    j = d.join(broadcast_if_small(drops, 20_000), ["_x_d", "_x_t"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_x_drop")
+    j = d.join(broadcast_if_small(drops), ["_x_d", "_x_t"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_x_drop")
     fields = [*docs.schema.fields, *([StructField("n_lines", LongType()), StructField("n_dropped", LongType())] if counts else [])]
     text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
