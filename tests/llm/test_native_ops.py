@@ -188,5 +188,97 @@ def test_pii_awkward(spark):
 
 
 def test_em_separates():
-    p = pii.estimate({(5, 0b11111): 80, (5, 0b11101): 40, (5, 0b00000): 100, (5, 0b10000): 60})
+    p, rates = pii.estimate({(5, 0b11111): 80, (5, 0b11101): 40, (5, 0b00000): 100, (5, 0b10000): 60})
     assert p[5, 0b11111] > 0.9 and p[5, 0] < 0.1
+    assert rates[5][0][0] > 0.8 > 0.3 > rates[5][0][1]
+
+
+def planted(seed, n):
+    """(rows, truth {doc_id: {(kind, start, end)}}): prose with personal data and look-alikes that are none."""
+    import random
+
+    rng = random.Random(seed)
+    low = lambda k: [rng.choice("river stone market gentle walking under bright seven garden window paper cloud often simple letter morning".split()) for _ in range(k)]
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    own_first = "Zebulon Quentin Thorbjorn Ysolde Branwen Caspian Ottoline Leocadia".split()
+    last = "Hartwell Okonkwo Lindqvist Abernathy Castellano Whitcombe Novak Jorgensen Petrov Moreau Delacroix Fairbanks".split()
+    street = ["Maple Street", "Old Mill Road", "Harbor Avenue", "North Elm Lane", "Cedar Drive"]
+
+    def person():
+        first = rng.choice(own_first if rng.random() < 0.3 else pii.FIRST_NAMES)
+        return f"{first} {rng.choice(last)}"
+
+    def good():
+        k = rng.choice(["name", "name", "address", "phone_local", "id_number", "card_like", "email_spelled"])
+        if k == "name":
+            return k, rng.choice(["please ask for our employee ", "the letter was signed ", "dear ", "the author is called ", "a patient named "]), person(), rng.choice([" who lives here", ", phone on file", " said so", " again"])
+        if k == "address":
+            return k, rng.choice(["the home address is ", "she lives at ", "please deliver to "]), f"{rng.randint(1, 999)} {rng.choice(street)}", rng.choice([", Springfield", ", Boston", " near here"])
+        if k == "phone_local":
+            return k, rng.choice(["call me on ", "my phone is ", "fax: "]), f"{rng.randint(2, 9)}{digits(2)}-{rng.randint(2, 9)}{digits(2)}-{digits(4)}", rng.choice([" after six", ". thanks", " or write"])
+        if k == "id_number":
+            return k, rng.choice(["social security ", "ssn ", "identity no "]), f"{rng.randint(1, 5)}{rng.randint(10, 65)}-{rng.randint(10, 99)}-{rng.randint(1000, 9998)}", rng.choice([" issued", ", born there", " on file"])
+        if k == "card_like":
+            return k, rng.choice(["my visa card ", "credit card "]), f"4{digits(3)} {digits(4)} {digits(4)} {digits(3)}1 {digits(3)}", rng.choice([" exp soon", ", valid", " then"])
+        return k, rng.choice(["mail me at ", "contact "]), f"{rng.choice(last).lower()} [at] {rng.choice('post mail corp'.split())} [dot] {rng.choice(['com', 'org'])}", rng.choice([" for more", ". or call"])
+
+    def bad():
+        return rng.choice([
+            f"we saw Grand {rng.choice(['River', 'Lake', 'Church', 'Museum'])} today",
+            f"the {rng.choice(['Central', 'Royal', 'National'])} {rng.choice(['Bank', 'Museum', 'University', 'Station'])} opened",
+            f"part #{digits(3)}-{digits(2)}-0000 was sold",
+            f"item/{digits(3)}-{digits(2)}-{digits(4)} in stock",
+            f"version 0{digits(2)}.1{digits(2)}.{digits(4)} of it",
+            f"measured {digits(4)} {digits(3)} {digits(3)} times",
+        ])
+
+    rows, truth = [], {}
+    for i in range(n):
+        out, at, spans = [], 0, set()
+        for _ in range(rng.randint(1, 4)):
+            text = " ".join(low(rng.randint(5, 15))).capitalize() + ". "
+            out.append(text)
+            at += len(text)
+            if rng.random() < 0.5:
+                text = "Then " + bad() + ". "
+                out.append(text)
+                at += len(text)
+            else:
+                k, before, span, after = good()
+                text = "Then " + before
+                spans.add((k, at + len(text), at + len(text) + len(span)))
+                out.append(text + span + after + ". ")
+                at += len(out[-1])
+        rows.append((i, "".join(out)))
+        truth[i] = spans
+    return rows, truth
+
+
+def test_pii_planted(spark):
+    """Personal data of no fixed pattern, planted among look-alikes: precision and recall of what the method adds, over all and by kind."""
+    rows, truth = planted(4, 800)
+    hit, said, real = Counter(), Counter(), Counter()
+    for r in pii.find(docs(spark, rows).repartition(4)).collect():
+        got = {(k, int(a), int(z)) for k, a, z in (x.split(":") for x in r["spans"].split(",") if x) if k in pii.MORE}
+        for k, a, z in got:
+            said[k] += 1
+            hit[k] += (k, a, z) in truth[r["doc_id"]]
+        for k, _, _ in truth[r["doc_id"]]:
+            real[k] += 1
+    print({k: (round(hit[k] / max(1, said[k]), 3), round(hit[k] / real[k], 3)) for k in pii.MORE})
+    assert sum(hit.values()) >= 0.9 * sum(said.values()) and sum(hit.values()) >= 0.9 * sum(real.values())
+    for k in pii.MORE:
+        assert hit[k] >= 0.8 * said[k] and hit[k] >= 0.8 * real[k], (k, hit[k], said[k], real[k])
+
+
+def test_pii_leaves_prose_alone(spark, sf, plain):
+    got = LLM_QUERIES["op4_personal_data"](spark, sf).collect()
+    assert sum(r["n_more"] for r in got) <= 0.01 * len(got)
+
+
+def test_pii_many_matches(spark):
+    """Matches beyond one block keep their places, and thousands of them take no long."""
+    text = "x@y.zz 1.2.3.4 " * 3000
+    r = pii.find(docs(spark, [(1, text)])).collect()[0]
+    assert (r["n_email"], r["n_ip"]) == (3000, 3000)
+    check_pii([(1, text)], [r])
