@@ -185,7 +185,32 @@ def test_secrets_awkward(spark):
     red = {r["doc_id"]: r for r in secrets.redact(d, m).collect()}
     assert red[8]["text"] == "<SECRET>\" <SECRET> <SECRET> key <SECRET>" and red[2]["text"] is None and red[8]["bucket"] == "x"
     assert secrets.scan(d.limit(0)).count() == 0
-    assert m.ratio("getUserNameFromList2") < secrets.MIN_RATIO
+    ordinary = "getUserNameFromList2 src/main/java/com/example/service/UserServiceImpl 4532015112830366 2023-10-11T12-30-59 internationalization HTTP_REQUEST_TIMEOUT_SECONDS"
+    assert not any(m.stretches(ordinary.split()))
+
+
+def test_secrets_recall(spark, sf, plain):
+    """Random strings of other seeds than the training's, alone, in paths and beside pattern spans; prose of the whole table stays alone."""
+    import random
+    import uuid
+
+    m = secrets.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    a, rng = secrets._ALPHABET, random.Random(1234)
+    for name, letters in {"hex": a[52:62] + "abcdef", "HEX": a[52:62] + "ABCDEF", "alnum": a[:62], "base64": a[:64], "upper": a[26:62], "lower": a[:26] + a[52:62], "letters": a[:52]}.items():
+        for n, least in ((12, 0.8), (16, 0.9), (20, 0.9), (40, 0.9)):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(400)]
+            keys = [k for k in keys if secrets._LETTER.search(k)]
+            found = sum(any(x <= 2 and y >= n - 2 for x, y in f) for f in m.stretches(keys))
+            assert found >= least * len(keys), (name, n, found / len(keys))
+    keys = ["".join(rng.choices(a[:62], k=24)) for _ in range(200)]
+    paths = [f"usr/local/share/{k}/config_file" for k in keys]
+    assert sum(any(x <= 16 + 2 and y >= 40 - 2 for x, y in f) for f in m.stretches(paths)) >= 0.95 * len(keys)
+    ids = [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(200)]
+    assert sum(bool(f) for f in m.stretches(ids)) >= 0.9 * len(ids)
+    beside = f"{'0123456789abcdef' * 2}/{keys[0]}"
+    (base, more), = secrets.all_spans([beside], m)
+    assert [k for *_, k in base] == ["hex"] and [beside[x:y] for x, y, _ in more] == [f"/{keys[0]}"] or [beside[x:y] for x, y, _ in more] == [keys[0]]
+    assert sum(len(more) for _, more in secrets.all_spans([t or "" for _, t in plain], m)) <= 2
 
 
 # 3
