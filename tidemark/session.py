@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when its measured row count is at most this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when its measured rows and bytes are at most these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def get_session(app: str = "tidemark", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -56,9 +57,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``rows`` rows, counted (never assumed); beyond it Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _width(f: T.StructField) -> Column:
+    """Bytes of a column's value."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(f.dataType, T.ArrayType):
+        return F.when(c.isNull(), 0).otherwise(8 * F.size(c))
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``rows`` rows and ``size`` bytes, counted (never assumed); beyond that Spark shuffles.
+
+    Counting evaluates ``df``, so give it a saved table or a cheap plan.
+    """
+    width = sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    n, b = df.select(width.alias("_width")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("_width"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and b <= size else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
