@@ -33,7 +33,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,44 +40,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import save
+from tidemark.llm.word_hash import byte_table, word_hashes
 from tidemark.session import broadcast_if_small
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS, LEADERS = 14, 3, 4
 HEAVY, SLOTS = 0.005, 1 << 20
 CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 24
-BATCH_CHARS = 1 << 20
-PART_CHARS = 1 << 23
+BATCH_CHARS = 1 << 18
+PART_CHARS, MAX_TASKS = 1 << 23, 8192
 DRAWS, SALTS = 1 << 16, 8
 FREQ = np.dtype([("s", "<u8"), ("c", "<u8")])
 MAX_ROUNDS = 60
-#: Distinct words that a worker remembers, and their characters in all; longer words are hashed anew.
-TABLE_WORDS, TABLE_CHARS, WORD_CHARS = 300_000, 1 << 22, 64
 #: Different texts of a task whose band keys are remembered.
 SIGNED = 20_000
+#: Marks that do not count at a word's ends.
+_OUTER = byte_table(".,;:!?\"'()[]{}#*$%&|<>-")
 _NULL = -(2**63)
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Words(dict):
-    chars = 0
-
-    def __missing__(self, w: str) -> int:
-        import xxhash
-
-        v = xxhash.xxh3_64_intdigest(w.lower().strip(".,;:!?\"'()[]{}#*$%&|<>-") or w)
-        if len(w) <= WORD_CHARS:
-            if len(self) >= TABLE_WORDS or self.chars >= TABLE_CHARS:
-                self.clear()
-                self.chars = 0
-            self.chars += len(w)
-            self[w] = v
-        return v
-
-
-_TABLE = _Words()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -86,10 +67,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes (sorted within a text) of all texts, their counts, and where each text's begin (one entry more than texts)."""
-    words = [x.split() for x in texts]
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    end = np.cumsum(size)
-    h = np.fromiter(map(_TABLE.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(end[-1]) if len(end) else 0)
+    data = [x.lower().encode() for x in texts]
+    h, at, _ = word_hashes(b" ".join(data), strip=_OUTER)
+    edges = np.cumsum([0, *(len(x) + 1 for x in data)])
+    end = np.searchsorted(at, edges[1:])
+    size = np.diff(end, prepend=0)
     held = np.concatenate([h, np.zeros(WORDS, np.uint64)])
     s = np.zeros(len(h), dtype=np.uint64)
     for j in range(WORDS):
@@ -307,7 +289,7 @@ def shingle_counts(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> tuple[Dat
         cols = [s[on].tobytes(), c[on].astype("<u8").tobytes(), s[many].tobytes(), c[many].astype("<u8").tobytes(), mean.tobytes()]
         return pa.table({"p": pa.array([p], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("s", "c", "hs", "hc", "mean"), cols, strict=True)}})
 
-    dealt = t.mapInArrow(deal, "p long, s binary, c binary")
+    dealt = t.mapInArrow(deal, "p long, s binary, c binary").repartition(min(parts, MAX_TASKS), "p")
     counts = save(dealt.groupBy("p").applyInArrow(count, "p long, s binary, c binary, hs binary, hc binary, mean binary"), "shingle-counts")
     slots, keys, found = np.ones(SLOTS, np.float32), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in counts.select("p", "hs", "hc", "mean").toLocalIterator():  # SLOTS means, and at most average length / HEAVY frequent shingles
@@ -423,7 +405,8 @@ def profiles(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, counts: DataFra
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], names=["node", "s", "w"])
 
     asked = save(held.mapInArrow(ask, "p long, chunk binary, s binary, own binary"), "shingles-asked")
-    got = asked.where("p >= 0").groupBy("p").cogroup(counts.groupBy("p")).applyInArrow(answer, "chunk binary, s binary, own binary")
+    tasks = min(parts, MAX_TASKS)
+    got = asked.where("p >= 0").repartition(tasks, "p").groupBy("p").cogroup(counts.repartition(tasks, "p").groupBy("p")).applyInArrow(answer, "chunk binary, s binary, own binary")
     back = got.select(F.lit(0).cast("long").alias("p"), "chunk", "s", "own").unionByName(asked.where("p = -1"))
     freq = back.groupBy("chunk").applyInArrow(gather, "node binary, freq binary")
     return save(held.join(freq, "node").mapInArrow(weigh, "node binary, s binary, w binary"), "profiles")
