@@ -254,6 +254,34 @@ def test_prints_awkward(spark, n):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def brute_likeness(x, y):
+    """2 x shared clauses weight over both: the likeness that the sketch estimates, from exact multisets."""
+    a, b = (Counter(c for c in fingerprint._clauses(t) if c) for t in (x, y))
+    top, low = 2 * sum(n * b[c] for c, n in a.items()), sum(n * n for n in a.values()) + sum(n * n for n in b.values())
+    return top / low if low else float(x == y)
+
+
+def test_likeness_estimates_shared_clauses(spark, sf, plain):
+    """The sketch's likeness of edited texts and of neighbours against exact clause multisets."""
+    got = LLM_QUERIES["op3_fingerprints"](spark, sf).collect()
+    order = sorted(plain, key=lambda r: r[0], reverse=True)
+    near = {r["doc_id"]: (r["near_edited"], r["near_next"]) for r in got}
+    off = []
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        h = len(t) // 2
+        off += [abs(near[i][0] - brute_likeness(t, t[: len(t) - h] + nxt[:h])), abs(near[i][1] - brute_likeness(t, nxt))]
+    assert np.mean(off) < 0.04 and np.quantile(off, 0.99) < 0.2
+
+
+def test_likeness_of_many_repeats():
+    """Sums beyond 16 bits do not wrap."""
+    a, b = fingerprint.vectors(["one clause\n" * 40_000, "one clause\n" * 25_536])
+    got = fingerprint.likeness(a[None], b[None])[0]
+    assert abs(got - 2 * 40_000 * 25_536 / (40_000**2 + 25_536**2)) < 0.01
+    assert (fingerprint.remove(a, fingerprint.vectors(["one clause\n" * 14_463 + "one clause"])[0])[-1]) == 25_536
+
+
 def test_homomorphism():
     a, b, ab = fingerprint.vectors(["one\ntwo", "three", "three\none\ntwo"])
     assert (fingerprint.add(a, b) == ab).all() and (fingerprint.remove(ab, b) == a).all()
@@ -272,6 +300,39 @@ def test_language(spark, sf):
     assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in held]) > 0.97
 
 
+def test_language_of_odd_letters(spark):
+    """Digits, marks and number signs are no letters; one combining or modifier letter is."""
+    m = langid.fit([("en", *langid.gram_counts("the cat")), ("de", *langid.gram_counts("die katze"))])
+    assert m.predict(["² ½ 10 _ …", "", None, "٣ Ⅳ", "ʰ", "x²"])[0][:4] == ["und"] * 4
+    assert "und" not in m.predict(["ʰ", "x²", "日"])[0]
+
+
+def test_language_by_brute_force(spark, sf, plain):
+    """Predictions equal a plain mean of each n-gram's class scores over the whole text."""
+    m = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = [t for _, t in plain[:60]]
+    lang, score, _ = m.predict(texts)
+    for t, a, p in zip(texts, lang, score, strict=True):
+        ws = langid.words_of(t or "")
+        if not ws:
+            assert a == "und"
+            continue
+        z = m.scores[langid.ngram_rows(ws)[0]].astype(np.float64).mean(axis=0) / m.temperature
+        e = np.exp(z - z.max())
+        assert a == m.langs[int(z.argmax())] and abs(p - (e / e.sum()).max()) < 1e-4
+
+
+def test_language_repeated_ids(spark):
+    """One id with several texts and languages trains with each of them once."""
+    rows = [(1, "the cat and the dog went home " * 3, "en"), (1, "der hund und die katze gehen heim " * 3, "de"), (1, "der hund und die katze gehen heim " * 3, "de")] * 20
+    rows += [(i, "the dog saw the cat", "en") for i in range(50, 90)] + [(i, "der hund sah die katze", "de") for i in range(90, 130)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(d).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] in ("en", "de") for r in got)
+    one = langid.identify(d.select("doc_id", "text").withColumn("lang", __import__("pyspark.sql.functions", fromlist=["x"]).lit("en"))).collect()
+    assert {r["lang_pred"] for r in one} == {"en"}
+
+
 def test_language_awkward(spark):
     rows = [(100 + i, "the cat and the dog went home" if i % 2 else "der hund und die katze gehen heim") for i in range(40)]
     d = docs(spark, [*rows, *AWKWARD]).withColumn("lang", __import__("pyspark.sql.functions", fromlist=["x"]).expr("case when text like '%der %' then 'de' when text like '%the %' then 'en' end"))

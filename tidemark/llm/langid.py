@@ -3,7 +3,11 @@
 Character n-grams of each marked word are hashed to embedding rows; a document
 is their mean, classified by a linear softmax. Both are trained by stochastic
 gradient descent in numpy on a bounded labelled sample (``PER_LANG`` documents of
-each language, the smallest hashes of ``doc_id``). A part of the sample held
+each of the ``MAX_LANGS`` most frequent languages, the smallest hashes of
+``doc_id`` and text, picked per salt first, so that a hot language is no single
+task's). Executors reduce the sample's whole texts to counts of their
+``SAMPLE_GRAMS`` most frequent embedding rows; only those reach the driver, at most
+``MAX_LANGS`` x ``PER_LANG`` x ``SAMPLE_GRAMS`` numbers. A part of the sample held
 back from training fits a temperature and the score below which a prediction is
 ``rejected``, so that ``REJECT_RATE`` of right predictions fall below it.
 
@@ -11,26 +15,32 @@ For prediction the embeddings are multiplied into the output layer once, so a
 word is one row of class scores; each distinct word is scored once per worker.
 
 Edge cases: ``und`` with score 0 and rejected for a null text or one without a
-letter; a null ``doc_id`` stays null (and is not held out); an untrainable
+letter (Unicode category L); a null ``doc_id`` stays null (and is not held out); rows of
+one id and several texts or languages are rows of their own; an untrainable
 sample (no labelled text) predicts ``und`` for all; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch
+from tidemark.llm.common import per_batch, save
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 PER_LANG, EPOCHS, RATE, SEED = 600, 6, 20.0, 11
 REJECT_RATE = 0.01
+MAX_LANGS, SAMPLE_GRAMS, SALTS = 400, 4096, 16
+#: Characters of all words that a worker remembers.
+TABLE_CHARS = 1 << 23
 TABLE_LIMIT = 400_000
 SLICE = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def words_of(text: str) -> list[str]:
@@ -65,6 +75,7 @@ class LanguageModel:
 
     def _reset(self) -> None:
         self._at: dict[str, int] = {}
+        self._chars = 0
         self._rows = np.zeros((0, len(self.langs) + 1), dtype=np.float32)
 
     def __getstate__(self):
@@ -81,13 +92,14 @@ class LanguageModel:
         add[:, -1] = np.bincount(own, minlength=len(new))
         self._at.update({w: len(self._rows) + i for i, w in enumerate(new)})
         self._rows = np.concatenate([self._rows, add])
+        self._chars += sum(map(len, new))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         if len(texts) > SLICE:  # words of few texts are held at once
             parts = [self.predict(texts[i : i + SLICE]) for i in range(0, len(texts), SLICE)]
             return tuple([x for p in parts for x in p[j]] for j in range(3))
         split = [words_of(t) if self.langs and t and _LETTER.search(t) else [] for t in texts]
-        if len(self._at) > TABLE_LIMIT:
+        if len(self._at) > TABLE_LIMIT or self._chars > TABLE_CHARS:
             self._reset()
         new = list({w for ws in split for w in ws} - self._at.keys())
         if new:
@@ -110,18 +122,24 @@ class LanguageModel:
         return lang, score, rejected
 
 
-def fit(samples: list[tuple[str, str]]) -> LanguageModel:
-    """Train on (text, lang)."""
-    langs = sorted({lang for _, lang in samples})
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of a whole text and their counts, the ``SAMPLE_GRAMS`` most frequent ones; slices of words bound the memory."""
+    ws, total = words_of(text), np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(ws), 1 << 16):
+        total += np.bincount(ngram_rows(ws[i : i + (1 << 16)])[0], minlength=BUCKETS)
+    rows = np.flatnonzero(total)
+    if len(rows) > SAMPLE_GRAMS:
+        rows = np.sort(rows[np.argsort(-total[rows], kind="stable")[:SAMPLE_GRAMS]])
+    return rows, total[rows]
+
+
+def fit(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
+    """Train on (lang, embedding rows, counts)."""
+    langs = sorted({lang for lang, _, _ in samples})
     if not langs:
         return LanguageModel([], np.zeros((BUCKETS, 0)), 1.0, 0.0)
     rng = np.random.default_rng(SEED)
-    data = []
-    for text, lang in samples:
-        ws = words_of(text)
-        if ws:
-            rows, n = np.unique(ngram_rows(ws)[0], return_counts=True)
-            data.append((rows, (n / n.sum()).astype(np.float64), langs.index(lang)))
+    data = [(rows, n / n.sum(), langs.index(lang)) for lang, rows, n in samples if len(rows)]
     order = rng.permutation(len(data))
     held, used = order[: len(data) // 5], order[len(data) // 5 :]
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
@@ -162,13 +180,27 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     """Model from at most ``per_lang`` documents of each language that are not held out."""
-    h = F.xxhash64("doc_id")
-    keys = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", h.alias("h"))
-    pick = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_lang)
-    ids = pick.select("doc_id").distinct()
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")
-    got = sorted((r["doc_id"], r["lang"], r["text"]) for r in rows.collect())  # bounded by per_lang
-    return fit([(t, lang) for _, lang, t in got])
+    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    keys = fit_rows.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    keys = keys.withColumn("salt", F.pmod(F.col("t"), F.lit(SALTS)))
+
+    def least(df: DataFrame, *by: str) -> DataFrame:
+        return df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "t"))).where(F.col("r") <= per_lang).drop("r")
+
+    frequent = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
+    pick = save(least(least(keys, "lang", "salt"), "lang").join(F.broadcast(frequent), "lang", "left_semi").select("lang", "h", "t").distinct(), "language-sample")
+    named = fit_rows.select("text", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    rows = named.join(F.broadcast(pick), ["lang", "h", "t"], "left_semi").select("lang", "h", "t", "text")  # MAX_LANGS x per_lang rows at most
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [gram_counts(x) for x in b.column("text").to_pylist()]
+            cols = [pa.array([g[i].astype("<i4").tobytes() for g in got], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("lang", "h", "t")), *cols], names=["lang", "h", "t", "rows", "n"])
+
+    found = rows.mapInArrow(counts, "lang string, h long, t long, rows binary, n binary").dropDuplicates(["lang", "h", "t"])
+    got = sorted(found.collect(), key=lambda r: (r["h"], r["t"], r["lang"]))
+    return fit([(r["lang"], np.frombuffer(r["rows"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<i4").astype(np.float64)) for r in got])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
