@@ -76,7 +76,7 @@ def test_run_layout(spark):
 
 def test_index_seek(spark):
     idx = spark.createDataFrame([(1, "b", 0), (1, "m", 1034)], "run_id long, k string, offset long")
-    p = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "k string")
+    p = spark.createDataFrame([(1, k) for k in "abcz"], "run_id long, k string")
     assert {r["k"]: r["offset"] for r in lookup.index_seek(idx, p).collect()} == {"a": 0, "b": 0, "c": 0, "z": 1034}
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from tidemark.functions.kv import BLOOM_PROBES, bloom_bits
 from tidemark.functions.murmur import murmur3
 
 _MASK = (1 << 32) - 1
+#: Bytes of filters that meet a chunk of keys in one task.
+BLOCK_BYTES, CHUNK_KEYS = 16 << 20, 1_000_000
 
 
 def probe_positions(h: Column, bits: Column, probes: int = BLOOM_PROBES) -> Column:
@@ -26,18 +32,56 @@ def build_filters(entries: DataFrame, run: str = "run_id", key: str = "key") ->
     return bits.groupBy(run, "n_bits").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
 
+def to_bytes(filters: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run_id, n_bits, bits): each filter as the bytes that a run file stores."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, on in zip(b.column("n_bits").to_pylist(), b.column("positions"), strict=True):
+                bits = np.zeros(n, np.uint8)
+                bits[on.values.to_numpy()] = 1
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(run), b.column("n_bits"), pa.array(out, pa.binary())], names=[run, "n_bits", "bits"])
+
+    return filters.select(run, "n_bits", "positions").mapInArrow(packed, f"{run} long, n_bits long, bits binary")
+
+
+def may_contain(bits: bytes, h: np.ndarray, probes: int = BLOOM_PROBES) -> np.ndarray:
+    """Whether a stored filter may hold each of the 32-bit hashes; an empty filter holds all."""
+    if not bits:
+        return np.ones(len(h), bool)
+    b, mask = np.frombuffer(bits, np.uint8), np.uint64(_MASK)
+    delta = (h >> np.uint64(17) | h << np.uint64(15)) & mask
+    on = np.ones(len(h), bool)
+    for i in range(probes):
+        p = ((h + np.uint64(i) * delta) & mask) % np.uint64(8 * len(b))
+        on &= (b[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return on
+
+
 def probe(filters: DataFrame, keys: DataFrame, key: str = "key", run: str = "run_id") -> DataFrame:
-    """(key, run_id, maybe) for each key and run: false means certainly absent.
+    """(key, run_id, maybe) of the runs that may hold each key; all others certainly do not, and are left out.
 
-    Joins set bits with probed bits on (n_bits, position), so no key meets a filter it does not touch.
+    Filters, as bytes, lie in blocks of about ``BLOCK_BYTES``; every key is sent
+    to each block once, in chunks, and tested there against the block's filters
+    at a time. ``filters`` has positions or bytes.
     """
-    k = keys.select(key).distinct().withColumn("h", murmur3(F.col(key)))
-    sizes = filters.select("n_bits").distinct()
-    probes = (
-        k.join(F.broadcast(sizes))  # sizes: one row per distinct filter length
-        .withColumn("need", F.array_distinct(probe_positions(F.col("h"), F.col("n_bits"))))
-        .select(key, "n_bits", F.size("need").alias("n_need"), F.explode("need").alias("pos"))
-    )
-    bits = filters.select(run, "n_bits", F.explode("positions").alias("pos"))
-    hit = probes.join(bits, ["n_bits", "pos"]).groupBy(key, run, "n_need").agg(F.count(F.lit(1)).alias("n_hit"))
-    return hit.select(key, run, (F.col("n_hit") == F.col("n_need")).alias("maybe"))
+    stored = filters if "bits" in filters.columns else to_bytes(filters, run)
+    asked = keys.select(key).distinct()
+    total = stored.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    blocks, chunks = 1 + total // BLOCK_BYTES, 1 + asked.count() // CHUNK_KEYS
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = stored.select(run, "bits", F.pmod(F.xxhash64(run), F.lit(blocks)).cast("int").alias("block")).withColumn("chunk", each(chunks))
+    sent = asked.select(key, murmur3(F.col(key)).alias("h"), F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk")).withColumn("block", each(blocks))
+
+    def test(f: pa.Table, k: pa.Table) -> pa.Table:
+        h, at, runs = k.column("h").to_numpy().astype(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r, bits in zip(f.column(run).to_pylist(), f.column("bits").to_pylist(), strict=True):
+            on = np.flatnonzero(may_contain(bits, h))
+            at.append(on)
+            runs.append(np.full(len(on), r))
+        got = k.column(key).combine_chunks().take(pa.array(np.concatenate(at)))
+        return pa.table({key: got, run: pa.array(np.concatenate(runs)), "maybe": pa.array(np.ones(len(got), bool))})
+
+    return own.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(test, f"{key} string, {run} long, maybe boolean")

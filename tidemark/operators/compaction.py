@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.kv import COMPACTION_FAN_IN, TIER_BOUNDS, size_tier
-from tidemark.operators.resolve import drop_tombstones, merge_log_runs
+from tidemark.operators.resolve import drop_tombstones, lww
 
 
 def tiers(stats: DataFrame, size: str = "n_bytes", bounds: tuple[int, ...] = TIER_BOUNDS) -> DataFrame:
@@ -29,7 +29,10 @@ def pick(stats: DataFrame, fan_in: int = COMPACTION_FAN_IN) -> DataFrame:
 
 
 def compact(entries: DataFrame, chosen: list[int], new_run: int, drop_deleted: bool = False) -> DataFrame:
-    """Entries of the merged run. ``drop_deleted`` is only safe when the oldest run is among ``chosen``."""
-    merged = merge_log_runs(entries.where(F.col("run_id").isin(chosen)))
+    """Entries of the merged run, newest by sequence: a run may hold older records than the run before it.
+
+    ``drop_deleted`` is only safe when no other run holds an older record of a deleted key.
+    """
+    merged = lww(entries.where(F.col("run_id").isin(chosen)))
     kept = drop_tombstones(merged) if drop_deleted else merged
     return kept.withColumn("run_id", F.lit(new_run).cast("long")).sort("k")

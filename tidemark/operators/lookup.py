@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.kv import is_tombstone
+from tidemark.operators.ranged import carried, ranged
 from tidemark.operators.resolve import lww
 from tidemark.session import broadcast_if_small
 
@@ -33,20 +34,19 @@ def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 def read_amplification(log: DataFrame) -> DataFrame:
     """(k, runs_searched): runs a newest-first search opens before it meets the key."""
-    newest = log.agg(F.max("run_id").alias("top"))
-    return log.groupBy("k").agg(F.max("run_id").alias("hit")).join(F.broadcast(newest)).select("k", (F.col("top") - F.col("hit") + 1).alias("runs_searched"))
+    newest = log.agg(F.max("run_id")).scalar()
+    return log.groupBy("k").agg(F.max("run_id").alias("hit")).select("k", (newest - F.col("hit") + 1).alias("runs_searched"))
 
 
 def index_seek(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """(run_id, k, offset): greatest indexed key not above the probe, per run; 0 when below all.
+    """(run_id, k, offset): greatest indexed key not above the probe in its run; 0 when below all.
 
-    As-of lookup by one sort: index entries and probes are unioned and the last
-    seen offset is carried forward, so no range join is needed. Runs are
-    bounded files, and probes of a run share its partition.
+    ``probes`` are (run_id, k), such as the pairs that the runs' filters admit.
+    The as-of lookup sorts entries and probes together by ranges of (run_id, k)
+    and carries the last offset over ranges, so neither a range join nor a task
+    per run is needed.
     """
     e = index.select("run_id", "k", "offset", F.lit(0).alias("side"))
-    runs = index.select("run_id").distinct()
-    p = probes.select("k").distinct().join(broadcast_if_small(runs)).select("run_id", "k", F.lit(None).cast("long").alias("offset"), F.lit(1).alias("side"))
-    w = Window.partitionBy("run_id").orderBy("k", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = e.unionByName(p).withColumn("at", F.last("offset", ignorenulls=True).over(w))
-    return carried.where("side = 1").select("run_id", "k", F.coalesce("at", F.lit(0)).cast("long").alias("offset"))
+    p = probes.select("run_id", "k", F.lit(None).cast("long").alias("offset"), F.lit(1).alias("side")).distinct()
+    own = carried(ranged(e.unionByName(p), "run_id", "k", "side"), "run_id", ("k", "side"), F.col("offset"), "at", F.col("side") == 0)
+    return own.where("side = 1").select("run_id", "k", F.coalesce("at", F.lit(0)).cast("long").alias("offset"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.kv import is_live, is_tombstone
+from tidemark.functions.kv import is_tombstone
 
 
 def lww(log: DataFrame, by: tuple[str, ...] = ("k",), order: tuple[str, ...] = ("seq",)) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_tombstones(state: DataFrame) -> DataFrame:
     return state.where(~is_tombstone(F.col("op"), F.col("v")))
 
 
-def scan_all(log: DataFrame, max_seq: int | None = None) -> DataFrame:
+def scan_all(log: DataFrame, max_seq: int | Column | None = None) -> DataFrame:
     """Live (k, v) as of ``max_seq`` (all of the log when None)."""
     seen = log if max_seq is None else log.where(F.col("seq") <= max_seq)
     return drop_tombstones(lww(seen)).select("k", "v")
@@ -46,8 +46,3 @@ def version_counts(log: DataFrame) -> DataFrame:
     """Versions and deletes per key."""
     gone = is_tombstone(F.col("op"), F.col("v"))
     return log.groupBy("k").agg(F.count(F.lit(1)).alias("n_versions"), F.count_if(gone).alias("n_deletes"))
-
-
-def live_state(state: DataFrame) -> DataFrame:
-    """Adds ``live`` to resolved rows."""
-    return state.withColumn("live", is_live(F.col("v")) & (F.col("op") == "PUT"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +46,33 @@ def layout_bytes(log: DataFrame) -> DataFrame:
 def sparse_index(log: DataFrame, step: int = INDEX_STEP) -> DataFrame:
     """(run_id, k, offset): an entry at the first record and then at the first record ``step`` bytes past the last entry.
 
-    The state resets at each emission, so it is a fold over the run's records in
-    key order; a run is a bounded file (one flush), never the corpus.
+    The state resets at each entry, so a run's records are walked in key order, as
+    its file is written. They stream through in batches: memory does not grow with
+    the run, merged ones included.
     """
     sized = run_entries(log).select("run_id", "k", (RUN_RECORD_HEADER + byte_len(F.col("k")) + byte_len(F.col("v"))).alias("n"))
-    folded = sized.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("k", "n"))).alias("recs")).select(
-        "run_id",
-        F.expr(
-            f"""aggregate(recs,
-                  named_struct('pos', 0L, 'last', 0L, 'out', cast(array() as array<struct<k:string,offset:bigint>>)),
-                  (s, r) -> named_struct(
-                    'pos', s.pos + r.n,
-                    'last', if(s.pos = 0 or s.pos - s.last >= {step}, s.pos, s.last),
-                    'out', if(s.pos = 0 or s.pos - s.last >= {step}, concat(s.out, array(named_struct('k', r.k, 'offset', s.pos))), s.out)),
-                  s -> s.out)"""
-        ).alias("idx"),
-    )
-    return folded.select("run_id", F.explode("idx").alias("e")).select("run_id", "e.k", "e.offset")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, pos, last = None, 0, 0
+        for b in batches:
+            runs, n = b.column("run_id").to_numpy(), b.column("n").to_numpy()
+            cuts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)] if len(runs) else []
+            at, offsets = [], []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if runs[a] != run:
+                    run, pos, last = runs[a], 0, -step
+                starts = pos + np.cumsum(n[a:z]) - n[a:z]
+                i = int(np.searchsorted(starts, last + step))
+                while i < z - a:
+                    last = int(starts[i])
+                    at.append(a + i)
+                    offsets.append(last)
+                    i = int(np.searchsorted(starts, last + step))
+                pos += int(n[a:z].sum())
+            picked = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("run_id").take(picked), b.column("k").take(picked), pa.array(offsets, pa.int64())], names=["run_id", "k", "offset"])
+
+    return sized.repartition("run_id").sortWithinPartitions("run_id", "k").mapInArrow(walk, "run_id long, k string, offset long")
 
 
 def recover_prefix(records: DataFrame, by: str = "run_id", order: str = "seq") -> DataFrame:

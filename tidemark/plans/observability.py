@@ -5,47 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranged import carried, ranged
+
 #: Fixed latency bucket bounds in seconds.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
 
 
+def served(samples: DataFrame) -> DataFrame:
+    """The samples without proxied requests, which are counted where they are served."""
+    return samples.where(~F.coalesce("is_proxy", F.lit(False))) if "is_proxy" in samples.columns else samples
+
+
 def throughput(samples: DataFrame, seconds: int = 60) -> DataFrame:
-    """(minute, method, n, rps) per tumbling window; proxied requests are counted where they are served."""
-    served = samples.where(~F.coalesce("is_proxy", F.lit(False))) if "is_proxy" in samples.columns else samples
-    g = served.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "method").agg(F.count(F.lit(1)).alias("n"))
+    """(minute, method, n, rps) per tumbling window, proxied requests left out."""
+    g = served(samples).groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "method").agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("minute"), "method", "n", F.round(F.col("n") / seconds, 6).alias("rps"))
 
 
-def histogram(samples: DataFrame, bounds: tuple[float, ...] = LATENCY_BUCKETS) -> DataFrame:
-    """(method, le, n): cumulative counts at each bound, +Inf as infinity; one pass, no expansion of rows."""
+def histogram(samples: DataFrame, bounds: tuple[float, ...] = LATENCY_BUCKETS, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """(*by, le, n): cumulative counts at each bound, +Inf as infinity; one pass, no expansion of rows; proxied requests left out."""
     tops = [*bounds, float("inf")]
     counts = [F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(tops)]
-    g = samples.groupBy("method").agg(*counts)
+    g = served(samples).groupBy(*by).agg(*counts)
     pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(tops)])
-    return g.select("method", F.explode(pairs).alias("p")).select("method", "p.le", "p.n")
+    return g.select(*by, F.explode(pairs).alias("p")).select(*by, "p.le", "p.n")
 
 
-def quantile(hist: DataFrame, q: float) -> DataFrame:
-    """(method, value): linear interpolation inside the bucket that holds rank q; the last finite bound beyond it."""
-    w = Window.partitionBy("method").orderBy("le")
-    h = hist.withColumn("pn", F.lag("n", 1, 0).over(w)).withColumn("ple", F.lag("le", 1, 0.0).over(w)).withColumn("total", F.max("n").over(Window.partitionBy("method")))
+def quantile(hist: DataFrame, q: float, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """(*by, value): linear interpolation inside the bucket that holds rank q; the last finite bound beyond it."""
+    w = Window.partitionBy(*by).orderBy("le")
+    h = hist.withColumn("pn", F.lag("n", 1, 0).over(w)).withColumn("ple", F.lag("le", 1, 0.0).over(w)).withColumn("total", F.max("n").over(Window.partitionBy(*by)))
     at = h.where((F.col("n") >= q * F.col("total")) & (F.col("pn") < q * F.col("total")))
     inside = F.col("ple") + (F.col("le") - F.col("ple")) * (q * F.col("total") - F.col("pn")) / (F.col("n") - F.col("pn"))
-    return at.select("method", F.round(F.when(F.col("le") == float("inf"), F.col("ple")).otherwise(inside), 6).alias("value"))
+    return at.select(*by, F.round(F.when(F.col("le") == float("inf"), F.col("ple")).otherwise(inside), 6).alias("value"))
+
+
+def latency_quantile(samples: DataFrame, q: float = 0.99, seconds: int = 60) -> DataFrame:
+    """(minute, method, consistency, value): the quantile of each window, method and consistency level."""
+    by = ("minute", "method", "consistency")
+    timed = samples.withColumn("minute", F.window("ts", f"{seconds} seconds")["start"])
+    return quantile(histogram(timed, by=by), q, by)
 
 
 def state_timeline(samples: DataFrame) -> DataFrame:
-    """(node, state, start_seq, end_seq, n): maximal stretches of one state per node (0 follower, 1 candidate, 2 leader)."""
-    w = Window.partitionBy("node").orderBy("seq")
-    turned = samples.withColumn("turn", (F.col("state") != F.lag("state", 1, -1).over(w)).cast("int"))
-    island = turned.withColumn("g", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return island.groupBy("node", "g", "state").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.count(F.lit(1)).alias("n")).drop("g")
+    """(node, state, start_seq, end_seq, n): maximal stretches of one state per node (0 follower, 1 candidate, 2 leader).
+
+    A stretch is named by the place where it begins, carried over ranges of
+    ``seq``, so a node's history is spread over tasks.
+    """
+    own = ranged(samples.select("node", "seq", "state"), "node", "seq")
+    was = carried(own, "node", ("seq",), F.col("state"), "was")
+    turned = was.withColumn("turn", ~F.col("state").eqNullSafe(F.col("was")))
+    begun = carried(turned, "node", ("seq",), F.col("seq"), "start_seq", F.col("turn"))
+    return begun.groupBy("node", "start_seq", "state").agg(F.max("seq").alias("end_seq"), F.count(F.lit(1)).alias("n")).select("node", "state", "start_seq", "end_seq", "n")
 
 
 def elections(samples: DataFrame) -> DataFrame:
     """(node, n): transitions into candidate; a node begins as follower."""
-    was = F.lag("state", 1, 0).over(Window.partitionBy("node").orderBy("seq"))
-    return samples.withColumn("hit", (F.col("state") == 1) & (was != 1)).groupBy("node").agg(F.count_if("hit").alias("n"))
+    own = carried(ranged(samples.select("node", "seq", "state"), "node", "seq"), "node", ("seq",), F.col("state"), "was")
+    return own.groupBy("node").agg(F.count_if((F.col("state") == 1) & (F.coalesce("was", F.lit(0)) != 1)).alias("n"))
 
 
 def gauge_last(samples: DataFrame, limit: float) -> DataFrame:

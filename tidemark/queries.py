@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom, kv
+from tidemark.functions.murmur import murmur3
 from tidemark.operators import compaction, consistency, lookup, resolve, runs, validate
 from tidemark.plans import observability as obs
-from tidemark.session import cut, table
+from tidemark.plans.store import KVStore
+from tidemark.session import cut, scratch_path, table
+from tidemark.sources import binary
 from tidemark.sources.changelog import read_changelog
 
-#: Replica positions for the consistency reads: shares of the log, in thousandths.
-REPLICAS = (("n1", "leader", 1000), ("n2", "follower", 700), ("n3", "follower", 400))
+#: Positions for the consistency reads as shares of the log, in thousandths: what is committed, and what each replica has applied.
+COMMITTED = 1000
+REPLICAS = (("n1", "leader", 950), ("n2", "follower", 700), ("n3", "follower", 400))
 #: Tier bounds in bytes that split the test runs (a run here holds about 100 records).
 SMALL_TIERS = (1250, 1300, 1350)
 GAUGE_LIMIT = 400.0
@@ -83,7 +87,14 @@ def kv_merge_four_runs(spark, d):
     return resolve.merge_runs([log.where(F.col("run_id") == i) for i in range(4)])
 
 
-@query("kv_compact_picked", None)
+_TIER = "CASE WHEN n_bytes < 1250 THEN 0 WHEN n_bytes < 1300 THEN 1 WHEN n_bytes < 1350 THEN 2 ELSE 3 END"
+_STATS = f"{_RUN}, st AS (SELECT run_id, count(*) AS n_keys, CAST(sum({_BYTES}) AS BIGINT) AS n_bytes FROM rr GROUP BY run_id), t AS (SELECT run_id, n_bytes, CAST({_TIER} AS INTEGER) AS tier FROM st)"
+_PICK = f"""{_STATS}, i AS (SELECT *, row_number() OVER (ORDER BY run_id) AS i, row_number() OVER (ORDER BY run_id) - row_number() OVER (PARTITION BY tier ORDER BY run_id) AS g FROM t),
+    s AS (SELECT *, count(*) OVER (PARTITION BY tier, g) AS n, row_number() OVER (PARTITION BY tier, g ORDER BY run_id) AS pos, min(i) OVER (PARTITION BY tier, g) AS st FROM i),
+    picked AS (SELECT run_id, tier, CAST(pos AS INTEGER) AS pos FROM s WHERE n >= 4 AND pos <= 4 AND st = (SELECT min(st) FROM s WHERE n >= 4))"""
+
+
+@query("kv_compact_picked", f"WITH {_PICK}, m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS newest FROM log WHERE run_id IN (SELECT run_id FROM picked)) SELECT k, op, v, seq FROM m WHERE newest = 1")
 def kv_compact_picked(spark, d):
     """The oldest full tier, merged as one run."""
     log = read_changelog(spark, d)
@@ -102,10 +113,40 @@ def memtable_accounting(spark, d):
     return runs.memtable_accounting(read_changelog(spark, d))
 
 
-@query("flush_verify", f"WITH {_LOG} SELECT run_id, count(DISTINCT k) AS expected, count(DISTINCT k) AS actual, true AS ok FROM log GROUP BY run_id")
+@query("flush_verify", f"WITH {_LOG} SELECT run_id, count(DISTINCT k) AS expected, count(DISTINCT k) - CASE WHEN run_id % 7 = 3 THEN 1 ELSE 0 END AS actual, run_id % 7 <> 3 AS ok FROM log GROUP BY run_id")
 def flush_verify(spark, d):
+    """Run files written and read back; every seventh loses its first record on the way, which must show."""
     log = read_changelog(spark, d)
-    return runs.flush_verify(log, cut(runs.run_entries(log)))
+    e = runs.run_entries(log)
+    first = e.groupBy("run_id").agg(F.min("k").alias("first"))
+    kept = e.join(first, "run_id").where("run_id % 7 <> 3 or k <> first")
+    folder = scratch_path(spark, "flushed")
+    binary.write_run_files(_binary(kept), folder)
+    return runs.flush_verify(log, binary.read_run_files(spark, folder))
+
+
+def _binary(entries: DataFrame) -> DataFrame:
+    return entries.select("run_id", F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"))
+
+
+def _text(entries: DataFrame) -> DataFrame:
+    return entries.select("run_id", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
+
+
+@query("run_files_read", f"WITH {_RUN} SELECT run_id, k, coalesce(v, '') AS v FROM rr")
+def run_files_read(spark, d):
+    """Every run as a binary file, read back whole."""
+    folder = scratch_path(spark, "run-files")
+    binary.write_run_files(_binary(runs.run_entries(read_changelog(spark, d))), folder)
+    return _text(binary.read_run_files(spark, folder))
+
+
+@query("run_files_get", f"WITH {_RUN}, {_ASKED} SELECT run_id, k, coalesce(v, '') AS v FROM rr WHERE k IN (SELECT k FROM asked)")
+def run_files_get(spark, d):
+    """All customers' keys looked up in every run file through its stored filter and index."""
+    folder = scratch_path(spark, "run-files")
+    binary.write_run_files(_binary(runs.run_entries(read_changelog(spark, d))), folder)
+    return _text(binary.get_from_run_files(spark, folder, _asked(spark, d)))
 
 
 @query("wal_bytes", f"WITH {_LOG} SELECT run_id, CAST(sum(20 + {_BYTES}) AS BIGINT) AS n_bytes FROM log GROUP BY run_id")
@@ -118,17 +159,31 @@ def wal_bytes(spark, d):
     f"WITH {_LOG}, b AS (SELECT *, sum(CASE WHEN seq % 97 = 96 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq) AS bad FROM log) SELECT run_id, seq, k FROM b WHERE bad = 0",
 )
 def wal_valid_prefix(spark, d):
-    """Every 97th record counts as corrupt: its stored checksum is off by one."""
-    log = read_changelog(spark, d)
-    crc = kv.entry_crc(F.col("k"), F.col("v"))
-    stored = crc + F.when(F.col("seq") % 97 == 96, 1).otherwise(0)
-    return runs.recover_prefix(log.withColumn("ok", stored == crc)).select("run_id", "seq", "k")
+    """Every 97th record is damaged: its value no longer fits the checksum stored with it."""
+    return runs.recover_prefix(_damaged(read_changelog(spark, d))).select("run_id", "seq", "k")
+
+
+def _damaged(log: DataFrame) -> DataFrame:
+    stored = log.withColumn("crc", kv.entry_crc(F.col("k"), F.col("v")))
+    read = stored.withColumn("v", F.when(F.col("seq") % 97 == 96, F.concat(F.coalesce("v", F.lit("")), F.lit("?"))).otherwise(F.col("v")))
+    return read.withColumn("ok", kv.entry_crc(F.col("k"), F.col("v")) == F.col("crc"))
 
 
 @query("wal_recover_state", f"WITH {_LOG}, b AS (SELECT *, sum(CASE WHEN seq % 97 = 96 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq) AS bad FROM log), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM b WHERE bad = 0) SELECT k, v FROM r WHERE rn = 1 AND {_LIVE}")
 def wal_recover_state(spark, d):
-    log = read_changelog(spark, d)
-    return resolve.scan_all(runs.recover_prefix(log.withColumn("ok", F.col("seq") % 97 != 96)))
+    return resolve.scan_all(runs.recover_prefix(_damaged(read_changelog(spark, d))))
+
+
+@query("wal_files_recover", f"WITH {_LOG}, b AS (SELECT *, sum(CASE WHEN seq % 97 = 96 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq) AS bad FROM log) SELECT run_id, seq, k, coalesce(v, '') AS v FROM b WHERE bad = 0")
+def wal_files_recover(spark, d):
+    """Binary log files, one byte of every 97th record flipped; their tails are cut and the rest is read."""
+    folder = scratch_path(spark, "log-files")
+    binary.write_wal_files(read_changelog(spark, d), folder)
+    binary.flip_bytes(spark, folder, 97, 96)
+    binary.cut_tails(spark, folder)
+    rec = binary.read_wal_files(spark, folder)
+    run = F.regexp_extract("wal_file", "([0-9]+)[.]log$", 1).cast("long")
+    return rec.select(run.alias("run_id"), "seq", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
 
 
 @query("wal_high_water", f"WITH {_LOG} SELECT run_id, seq, max(seq) OVER (PARTITION BY run_id ORDER BY seq) AS high FROM log")
@@ -155,24 +210,68 @@ def sparse_index(spark, d):
     return runs.sparse_index(read_changelog(spark, d))
 
 
+def _murmur(keys: str, blocks: int = 5) -> str:
+    """CTEs that give h(k, h), the canonical Murmur3 of ASCII keys of up to 4 x ``blocks`` + 3 bytes, in 64-bit arithmetic."""
+    m = 4294967296
+    byte = lambda at: f"CAST(ascii(substr(k, CAST({at} AS BIGINT), 1)) AS UBIGINT)"
+
+    def mixed(w: str) -> str:
+        x = f"(({w}) * 3432918353 % {m})"
+        return f"(({x} * 32768 % {m} + {x} // 131072) * 461845907 % {m})"
+
+    out = [f"h0 AS (SELECT k, CAST(0 AS UBIGINT) AS h, length(k) AS n FROM ({keys}))"]
+    for i in range(blocks):
+        word = " + ".join(f"{byte(4 * i + j + 1)} * {256**j}" for j in range(4))
+        out.append(f"x{i} AS (SELECT k, n, h, CASE WHEN n >= {4 * i + 4} THEN xor(h, {mixed(word)}) END AS x FROM h{i})")
+        out.append(f"h{i + 1} AS (SELECT k, n, CASE WHEN n >= {4 * i + 4} THEN ((x * 8192 % {m} + x // 524288) * 5 + 3864292196) % {m} ELSE h END AS h FROM x{i})")
+    tail = " + ".join(f"CASE WHEN n % 4 > {j} THEN {byte(f'n // 4 * 4 + {j + 1}')} * {256**j} ELSE CAST(0 AS UBIGINT) END" for j in range(3))
+    out.append(f"t0 AS (SELECT k, n, h, {tail} AS w FROM h{blocks})")
+    out.append(f"t1 AS (SELECT k, xor(xor(h, {mixed('w')}), CAST(n AS UBIGINT)) AS h FROM t0)")
+    out.append(f"t2 AS (SELECT k, xor(h, h // 65536) * 2246822507 % {m} AS h FROM t1)")
+    out.append(f"t3 AS (SELECT k, xor(h, h // 8192) * 3266489909 % {m} AS h FROM t2)")
+    out.append("h AS (SELECT k, xor(h, h // 65536) AS h FROM t3)")
+    return ", ".join(out)
+
+
+_AT = "(h + i * (h // 131072 + h * 32768 % 4294967296)) % 4294967296 % n_bits"
+_FILTER = f"""{_murmur('SELECT DISTINCT k FROM log')}, sizes AS (SELECT run_id, CAST(ceil(greatest(count(DISTINCT k), 64) * 10 / 8.0) * 8 AS BIGINT) AS n_bits FROM log GROUP BY run_id),
+  seven AS (SELECT CAST(unnest([0, 1, 2, 3, 4, 5, 6]) AS UBIGINT) AS i), sized AS (SELECT DISTINCT n_bits FROM sizes),
+  pos AS (SELECT DISTINCT k, n_bits, CAST({_AT} AS BIGINT) AS p FROM h CROSS JOIN sized CROSS JOIN seven),
+  bits AS (SELECT DISTINCT run_id, n_bits, p FROM (SELECT DISTINCT run_id, k FROM log) JOIN sizes USING (run_id) JOIN pos USING (k, n_bits)),
+  need AS (SELECT k, n_bits, count(*) AS n FROM pos GROUP BY 1, 2),
+  maybe AS (SELECT run_id, k FROM (SELECT b.run_id, p.k, p.n_bits, count(*) AS hit FROM pos p JOIN bits b USING (n_bits, p) GROUP BY 1, 2, 3) x JOIN need USING (k, n_bits) WHERE hit = n)"""
+
+
+@query("key_hash", f"WITH {_LOG}, {_murmur('SELECT DISTINCT k FROM log')} SELECT k, CAST(h AS BIGINT) AS h FROM h")
+def key_hash(spark, d):
+    return read_changelog(spark, d).select("k").distinct().withColumn("h", murmur3(F.col("k")))
+
+
+@query("bloom_bits_set", f"WITH {_LOG}, {_FILTER} SELECT run_id, n_bits, count(*) AS n_set FROM bits GROUP BY 1, 2")
+def bloom_bits_set(spark, d):
+    """Bits of every run's filter as stored in bytes."""
+    stored = bloom.to_bytes(bloom.build_filters(read_changelog(spark, d).withColumnRenamed("k", "key")))
+    ones = "aggregate(sequence(1, octet_length(bits)), 0L, (a, i) -> a + bit_count(cast(conv(hex(substring(bits, i, 1)), 16, 10) as int)))"
+    return stored.select("run_id", "n_bits", F.expr(ones).alias("n_set"))
+
+
+@query("bloom_probe", f"WITH {_LOG}, {_FILTER} SELECT k AS key, run_id FROM maybe")
+def bloom_probe(spark, d):
+    """Every key that the filter of any run may hold, probed in the filters' stored bytes."""
+    log = read_changelog(spark, d).withColumnRenamed("k", "key")
+    return bloom.probe(cut(bloom.to_bytes(bloom.build_filters(log))), log).select("key", "run_id")
+
+
 @query(
     "sparse_index_seek",
-    f"WITH RECURSIVE {_INDEX}, a AS (SELECT DISTINCT k FROM log WHERE run_id < 3), r AS (SELECT DISTINCT run_id FROM f) SELECT r.run_id, a.k, CAST(coalesce(max(f.pos), 0) AS BIGINT) AS \"offset\" FROM r CROSS JOIN a LEFT JOIN f ON f.run_id=r.run_id AND encode(f.k)<=encode(a.k) GROUP BY 1,2",
+    f"WITH RECURSIVE {_INDEX}, {_FILTER} SELECT m.run_id, m.k, CAST(coalesce(max(f.pos), 0) AS BIGINT) AS \"offset\" FROM maybe m LEFT JOIN f ON f.run_id=m.run_id AND encode(f.k)<=encode(m.k) GROUP BY 1, 2",
 )
 def sparse_index_seek(spark, d):
+    """Where a lookup of any key begins to read, in every run whose filter admits the key."""
     log = read_changelog(spark, d)
-    return lookup.index_seek(cut(runs.sparse_index(log)), log.where("run_id < 3"))
-
-
-@query("sparse_index_seek_all_keys", None)
-def sparse_index_seek_all_keys(spark, d):
-    """Every key of the log in the index of every run."""
-    log = read_changelog(spark, d)
-    return lookup.index_seek(cut(runs.sparse_index(log)), log)
-
-
-_TIER = "CASE WHEN n_bytes < 1250 THEN 0 WHEN n_bytes < 1300 THEN 1 WHEN n_bytes < 1350 THEN 2 ELSE 3 END"
-_STATS = f"{_RUN}, st AS (SELECT run_id, count(*) AS n_keys, CAST(sum({_BYTES}) AS BIGINT) AS n_bytes FROM rr GROUP BY run_id), t AS (SELECT run_id, n_bytes, CAST({_TIER} AS INTEGER) AS tier FROM st)"
+    keyed = log.withColumnRenamed("k", "key")
+    admitted = bloom.probe(cut(bloom.to_bytes(bloom.build_filters(keyed))), keyed).select("run_id", F.col("key").alias("k"))
+    return lookup.index_seek(cut(runs.sparse_index(log)), admitted)
 
 
 @query("size_tier", f"WITH {_STATS} SELECT run_id, n_bytes, tier FROM t")
@@ -180,12 +279,7 @@ def size_tier(spark, d):
     return compaction.tiers(runs.memtable_accounting(read_changelog(spark, d)), bounds=SMALL_TIERS).select("run_id", "n_bytes", "tier")
 
 
-@query(
-    "compaction_pick",
-    f"""WITH {_STATS}, i AS (SELECT *, row_number() OVER (ORDER BY run_id) AS i, row_number() OVER (ORDER BY run_id) - row_number() OVER (PARTITION BY tier ORDER BY run_id) AS g FROM t),
-    s AS (SELECT *, count(*) OVER (PARTITION BY tier, g) AS n, row_number() OVER (PARTITION BY tier, g ORDER BY run_id) AS pos, min(i) OVER (PARTITION BY tier, g) AS st FROM i)
-    SELECT run_id, tier, CAST(pos AS INTEGER) AS pos FROM s WHERE n >= 4 AND pos <= 4 AND st = (SELECT min(st) FROM s WHERE n >= 4)""",
-)
+@query("compaction_pick", f"WITH {_PICK} SELECT run_id, tier, pos FROM picked")
 def compaction_pick(spark, d):
     return compaction.pick(compaction.tiers(runs.memtable_accounting(read_changelog(spark, d)), bounds=SMALL_TIERS))
 
@@ -201,23 +295,9 @@ def bloom_sizing(spark, d):
     return n.withColumn("n_bits", kv.bloom_bits(F.col("n_keys")))
 
 
-@query("bloom_probe", None)
-def bloom_probe(spark, d):
-    """Every key that the filters of the first runs may hold."""
-    log = read_changelog(spark, d).withColumnRenamed("k", "key")
-    filters = cut(bloom.build_filters(log.where("run_id < 4")))
-    return bloom.probe(filters, log).where("maybe").select("key", "run_id")
-
-
-@query("bloom_probe_all_runs", None)
-def bloom_probe_all_runs(spark, d):
-    """Every key that the filter of any run may hold."""
-    log = read_changelog(spark, d).withColumnRenamed("k", "key")
-    return bloom.probe(cut(bloom.build_filters(log)), log).where("maybe").select("key", "run_id")
-
-
-def _bound(name: str) -> str:
-    share = {n: s for n, _, s in REPLICAS}[name]
+def _bound(name: str | None = None) -> str:
+    """SQL of a replica's position, or of what is committed."""
+    share = {n: s for n, _, s in REPLICAS}.get(name, COMMITTED)
     return f"(SELECT max(event_id) * {share} // 1000 FROM events)"
 
 
@@ -225,17 +305,18 @@ def _as_of(bound: str) -> str:
     return f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM log WHERE seq <= {bound}) SELECT k, v FROM r WHERE rn=1 AND {_LIVE}"
 
 
-def _positions(spark, d) -> dict[str, int]:
-    top = table(spark, d, "events").agg(F.max("event_id")).first()[0] or 0
-    return {n: top * s // 1000 for n, _, s in REPLICAS}
+def _position(spark, d, name: str | None = None) -> Column:
+    """The same as a scalar subquery, so that planning runs no job."""
+    share = {n: s for n, _, s in REPLICAS}.get(name, COMMITTED)
+    return table(spark, d, "events").agg(F.floor(F.max("event_id") * share / 1000).cast("long")).scalar()
 
 
 def _read(spark, d, level, node):
-    at = _positions(spark, d)
-    return consistency.read_as_of(read_changelog(spark, d), consistency.read_bound(consistency.Consistency.parse(level), at["n1"], at, "n1", node))
+    at = {n: _position(spark, d, n) for n, _, _ in REPLICAS}
+    return consistency.read_as_of(read_changelog(spark, d), consistency.read_bound(consistency.Consistency.parse(level), _position(spark, d), at, "n1", node))
 
 
-@query("read_strong", _as_of(_bound("n1")))
+@query("read_strong", _as_of(_bound()))
 def read_strong(spark, d):
     return _read(spark, d, "strong", "n1")
 
@@ -255,23 +336,17 @@ def read_eventual(spark, d):
     f"WITH {_LOG}, n AS (SELECT 'n1' AS node, {_bound('n1')} AS s UNION ALL SELECT 'n2', {_bound('n2')} UNION ALL SELECT 'n3', {_bound('n3')}), r AS (SELECT *, row_number() OVER (PARTITION BY node, k ORDER BY seq DESC) rn FROM log JOIN n ON seq <= s) SELECT node, k, v FROM r WHERE rn=1 AND {_LIVE}",
 )
 def replica_states(spark, d):
-    at = _positions(spark, d)
-    replicas = spark.createDataFrame([(n, role, at[n]) for n, role, _ in REPLICAS], "node string, role string, applied_seq long")
-    return consistency.replica_states(read_changelog(spark, d), replicas)
+    return consistency.replica_states(read_changelog(spark, d), {n: _position(spark, d, n) for n, _, _ in REPLICAS})
 
 
-@query("stale_read_report", f"WITH a AS ({_as_of(_bound('n1'))}), b AS ({_as_of(_bound('n3'))}) SELECT coalesce(a.k, b.k) AS k, a.v AS fresh, b.v AS stale FROM a FULL JOIN b ON a.k=b.k WHERE a.v IS DISTINCT FROM b.v")
+@query("stale_read_report", f"WITH a AS ({_as_of(_bound())}), b AS ({_as_of(_bound('n3'))}) SELECT coalesce(a.k, b.k) AS k, a.v AS fresh, b.v AS stale FROM a FULL JOIN b ON a.k=b.k WHERE a.v IS DISTINCT FROM b.v")
 def stale_read_report(spark, d):
-    at = _positions(spark, d)
-    return consistency.stale_report(read_changelog(spark, d), at["n1"], at["n3"])
+    return consistency.stale_report(read_changelog(spark, d), _position(spark, d), _position(spark, d, "n3"))
 
 
 @query("snapshot_restore_diff", f"WITH {_LWW} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM lww WHERE {_LIVE}")
 def snapshot_restore_diff(spark, d):
     """Rows of a snapshot, written and restored, against the state it was taken from."""
-    from tidemark.plans.store import KVStore
-    from tidemark.session import scratch_path
-
     log = read_changelog(spark, d)
     store = KVStore(spark, scratch_path(spark, "store"))
     store.put(spark.createDataFrame([("trash", "x")], "k string, v string"))
@@ -285,7 +360,69 @@ def snapshot_restore_diff(spark, d):
     a, b = resolve.scan_all(log), other.scan()
     both = a.withColumn("a", F.lit(1)).unionByName(b.withColumn("a", F.lit(-1))).groupBy("k", "v").agg(F.sum("a").alias("n"))
     diff = both.agg(F.count_if(F.col("n") > 0).alias("n_missing"), F.count_if(F.col("n") < 0).alias("n_extra"))
-    return a.agg(F.count(F.lit(1)).alias("n_rows")).join(diff)  # one row each
+    return diff.withColumn("n_rows", a.agg(F.count(F.lit(1))).scalar())
+
+
+def _batches(log: DataFrame, n: int) -> list[DataFrame]:
+    """``n`` batches of a log, cut by its sequence."""
+    lo, hi = log.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    step = (hi - lo) // n + 1
+    return [log.where((F.col("seq") >= lo + i * step) & (F.col("seq") < lo + (i + 1) * step)) for i in range(n)]
+
+
+@query("store_compact_twice", f"WITH {_LWW} SELECT k, v FROM lww WHERE {_LIVE}")
+def store_compact_twice(spark, d):
+    """Eight batches in a store, compacted after every three: merged runs never hide newer ones."""
+    store = KVStore(spark, scratch_path(spark, "store"))
+    for i, batch in enumerate(_batches(read_changelog(spark, d), 8)):
+        store.apply(batch)
+        if i % 3 == 2:
+            store.compact(bounds=(), fan_in=2)
+    store.compact(bounds=(), fan_in=2)
+    return resolve.drop_tombstones(store.entries()).select("k", "v")
+
+
+@query("store_late_batches", f"WITH {_LWW} SELECT k, op, v, seq FROM lww")
+def store_late_batches(spark, d):
+    """The newest part of the log is applied first; older parts arrive later and change nothing that is newer."""
+    store = KVStore(spark, scratch_path(spark, "store"))
+    for batch in reversed(_batches(read_changelog(spark, d), 4)):
+        store.apply(batch)
+    store.compact(bounds=(), fan_in=2)
+    return store.entries().select("k", "op", "v", "seq")
+
+
+@query("store_flush_at_limit", f"WITH {_LWW} SELECT k, v FROM lww WHERE {_LIVE}")
+def store_flush_at_limit(spark, d):
+    """Batches collect in the memtable and are flushed when it is full, and at the close."""
+    store = KVStore(spark, scratch_path(spark, "store"), memtable_limit=4000)
+    for batch in _batches(read_changelog(spark, d), 5):
+        store.apply(batch)
+    store.close()
+    return store.scan()
+
+
+_HALF = "(SELECT (max(event_id) - min(event_id)) // 2 + 1 + min(event_id) FROM events)"
+
+
+@query("store_levels", f"WITH {_LOG}, p AS (SELECT *, CASE WHEN seq < {_HALF} THEN 'run' ELSE 'memtable' END AS level FROM log), n AS (SELECT *, row_number() OVER (PARTITION BY level, k ORDER BY seq DESC) AS rn FROM p) SELECT level, k, op, v, seq FROM n WHERE rn = 1")
+def store_levels(spark, d):
+    """Every entry by level: the first half of the log is flushed, the second is still in the memtable."""
+    store = KVStore(spark, scratch_path(spark, "store"), memtable_limit=kv.MEMTABLE_LIMIT * 1024)
+    first, second = _batches(read_changelog(spark, d), 2)
+    store.apply(first)
+    store.flush()
+    store.apply(second)
+    return store.levels().select("level", "k", "op", "v", "seq")
+
+
+@query("store_delete_get", f"WITH {_LWW}, {_ASKED} SELECT a.k, CASE WHEN CAST(split_part(a.k, ':', 2) AS BIGINT) % 3 = 0 THEN 'tombstone' ELSE {_REASON} END AS reason FROM asked a LEFT JOIN lww l ON a.k=l.k")
+def store_delete_get(spark, d):
+    """Every third customer's key is deleted in a store; then all customers' keys are looked up."""
+    store, asked = KVStore(spark, scratch_path(spark, "store")), _asked(spark, d)
+    store.apply(read_changelog(spark, d))
+    store.delete(asked.where(F.split_part("k", F.lit(":"), F.lit(2)).cast("long") % 3 == 0))
+    return store.get(asked).select("k", "reason")
 
 
 @query("fsm_apply_validation", "SELECT event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'bad_payload' WHEN event_type = 'view' THEN 'unknown_op' ELSE 'ok' END AS status FROM events")
@@ -320,6 +457,33 @@ def throughput_rps(spark, d):
     return obs.throughput(_samples(spark, d)).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
+_SERVED = "s AS (SELECT date_trunc('minute', ts) AS \"minute\", event_type AS method, ['STRONG', 'FAST', 'EVENTUAL'][user_id % 3 + 1] AS consistency, value / 1000.0 AS value FROM events WHERE event_id % 5 <> 0)"
+
+
+def _requests(spark, d):
+    """Samples with a consistency level each; every fifth request was proxied, and its server counts it."""
+    level = F.element_at(F.array(*map(F.lit, ("STRONG", "FAST", "EVENTUAL"))), (F.col("user_id") % 3 + 1).cast("int"))
+    e = table(spark, d, "events")
+    return e.select("ts", F.col("event_type").alias("method"), level.alias("consistency"), (F.col("value") / 1000.0).alias("value"), (F.col("event_id") % 5 == 0).alias("is_proxy"))
+
+
+@query("throughput_served", f"WITH {_SERVED} SELECT \"minute\", method, count(*) AS n, round(count(*) / 60.0, 6)::DOUBLE AS rps FROM s GROUP BY 1, 2")
+def throughput_served(spark, d):
+    return obs.throughput(_requests(spark, d)).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query(
+    "latency_p99_windows",
+    f"""WITH {_SERVED}, b AS (SELECT CAST(le AS DOUBLE) AS le FROM (VALUES (0.005),(0.01),(0.025),(0.05),(0.1),(0.25),(0.5),(1.0)) t(le) UNION ALL SELECT 'inf'::DOUBLE),
+    h AS (SELECT "minute", method, consistency, le, count(*) FILTER (value <= le) AS n FROM s CROSS JOIN b GROUP BY 1, 2, 3, 4),
+    q AS (SELECT *, lag(n, 1, 0) OVER w AS pn, lag(le, 1, 0.0) OVER w AS ple, max(n) OVER (PARTITION BY "minute", method, consistency) AS total FROM h WINDOW w AS (PARTITION BY "minute", method, consistency ORDER BY le))
+    SELECT "minute", method, consistency, round(CASE WHEN isinf(le) THEN ple ELSE ple + (le - ple) * (0.99::DOUBLE * total - pn) / (n - pn) END, 6) AS "value" FROM q WHERE n >= 0.99::DOUBLE * total AND pn < 0.99::DOUBLE * total""",
+)
+def latency_p99_windows(spark, d):
+    """The 99th percentile of each minute, method and consistency level, proxied requests left out."""
+    return obs.latency_quantile(_requests(spark, d)).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
 _HIST = """b AS (SELECT CAST(le AS DOUBLE) AS le FROM (VALUES (0.005),(0.01),(0.025),(0.05),(0.1),(0.25),(0.5),(1.0)) t(le) UNION ALL SELECT 'inf'::DOUBLE),
  m AS (SELECT DISTINCT event_type AS method FROM events),
  h AS (SELECT m.method, b.le, (SELECT count(*) FROM events e WHERE e.event_type = m.method AND e.value / 1000.0 <= b.le) AS n FROM m CROSS JOIN b)"""

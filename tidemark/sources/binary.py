@@ -10,14 +10,22 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions.bloom import may_contain
 from tidemark.functions.kv import BLOOM_BITS_PER_KEY, BLOOM_MIN_KEYS, BLOOM_PROBES, INDEX_STEP, RUN_FOOTER, WAL_HEADER
 from tidemark.functions.murmur import murmur3_array
 from tidemark.schema import RUN_ENTRY, WAL_RECORD
+from tidemark.session import cut
+
+#: Keys that meet a run file at once.
+KEYS_PER_CHUNK = 100_000
 
 
 def encode_wal(records: list[tuple[int, bytes, bytes | None]]) -> bytes:
@@ -85,6 +93,72 @@ def decode_run(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += nk + nv
 
 
+def _put(folder: str, name: str, data: bytes) -> None:
+    """Write a file by rename, so that a retried task replaces its own output and no reader sees a part of it."""
+    import uuid
+
+    from pyarrow.fs import FileSystem
+
+    fs, root = FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    tmp = f"{root}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(tmp) as f:
+        f.write(data)
+    fs.move(tmp, f"{root}/{name}")
+
+
+def write_wal_files(log: DataFrame, folder: str) -> DataFrame:
+    """Write (run_id, seq, k, v) as one log file ``<run_id>.log`` a run below ``folder`` (a URI); returns (run_id, n_records, n_bytes). A log file is one memtable's life, so it fits a task."""
+
+    def write(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        rows = zip(*(t.column(c).to_pylist() for c in ("seq", "k", "v")), strict=True)
+        data = encode_wal([(s, b"" if k is None else k.encode(), None if v is None else v.encode()) for s, k, v in rows])
+        run = t.column("run_id")[0].as_py()
+        _put(folder, f"{run}.log", data)
+        return pa.table({"run_id": pa.array([run], pa.int64()), "n_records": pa.array([t.num_rows], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
+
+    done = log.select("run_id", "seq", "k", "v").groupBy("run_id").applyInArrow(write, "run_id long, n_records long, n_bytes long")
+    return cut(done)
+
+
+def cut_tails(spark: SparkSession, folder: str) -> DataFrame:
+    """Cut every log file below ``folder`` (a URI) at its first bad record; returns (wal_file, n_kept, n_cut) in bytes."""
+
+    def cut_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                data, end = bytes(content), 0
+                for at, _, k, v, _, ok in decode_wal(data):
+                    if ok:
+                        end = at + WAL_HEADER + len(k) + len(v)
+                if end < len(data):
+                    _put(folder, name.rsplit("/", 1)[-1], data[:end])
+                rows.append((name, end, len(data) - end))
+            yield pd.DataFrame(rows, columns=["wal_file", "n_kept", "n_cut"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder).select("path", "content")
+    return cut(files.mapInPandas(cut_one, "wal_file string, n_kept long, n_cut long"))
+
+
+def flip_bytes(spark: SparkSession, folder: str, modulo: int, rest: int) -> None:
+    """Damage the log files below ``folder`` (a URI): flip the last byte of records whose ``seq`` leaves ``rest``. For tests of recovery."""
+
+    def damage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                data = bytearray(content)
+                for at, seq, k, v, _, _ in list(decode_wal(bytes(content))):
+                    if seq % modulo == rest:
+                        data[at + WAL_HEADER + len(k) + len(v) - 1] ^= 1
+                _put(folder, name.rsplit("/", 1)[-1], bytes(data))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder).select("path", "content")
+    cut(files.mapInPandas(damage, "n long"))
+
+
 def read_wal_files(spark: SparkSession, path: str) -> DataFrame:
     """Records of every log file below ``path`` (schema.WAL_RECORD), bad tail marked by ``ok`` = false."""
 
@@ -109,6 +183,69 @@ def read_run_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, RUN_ENTRY)
 
 
+def open_run(data: bytes) -> tuple[bytes, list[tuple[bytes, int]], int]:
+    """(filter, index, end of the records) of a run file, from its footer."""
+    if len(data) < RUN_FOOTER:
+        raise ValueError("not a run file: shorter than its footer")
+    index, end = struct.unpack_from("<Qq", data, len(data) - RUN_FOOTER)
+    size = struct.unpack_from("<I", data, end)[0]
+    entries, at = [], index + 4
+    for _ in range(struct.unpack_from("<I", data, index)[0]):
+        n = struct.unpack_from("<I", data, at)[0]
+        entries.append((data[at + 4 : at + 4 + n], struct.unpack_from("<q", data, at + 4 + n)[0]))
+        at += 12 + n
+    return data[end + 4 : end + 4 + size], entries, end
+
+
+def find_in_run(data: bytes, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """(key, value) of the keys that a run file holds: its filter first, then the index, then the records from there until a larger key."""
+    bits, index, end = open_run(data)
+    out, starts = [], [k for k, _ in index]
+    admitted = may_contain(bits, murmur3_array(keys))
+    for key in (k for k, on in zip(keys, admitted, strict=True) if on):
+        i = bisect_right(starts, key)
+        at = index[i - 1][1] if i else 0
+        while at < end:
+            nk, nv = struct.unpack_from("<II", data, at)
+            k = data[at + 8 : at + 8 + nk]
+            if k >= key:
+                if k == key:
+                    out.append((k, data[at + 8 + nk : at + 8 + nk + nv]))
+                break
+            at += 8 + nk + nv
+    return out
+
+
+def get_from_run_files(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(run_id, key, value) of the asked keys (column ``k``) in every run file below ``path``; each file answers for all keys, read in chunks."""
+    asked = keys.select("k").where("k is not null").distinct()
+    chunks = asked.select("k", F.pmod(F.xxhash64("k"), F.lit(1 + asked.count() // KEYS_PER_CHUNK)).alias("chunk")).groupBy("chunk").agg(F.collect_list("k").alias("keys"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data, wanted in zip(*(b.column(c).to_pylist() for c in ("path", "content", "keys")), strict=True):
+                found = find_in_run(data, sorted(k.encode() for k in wanted))
+                run = int(name.rsplit("/", 1)[-1].split(".")[0])
+                cols = [pa.array([run] * len(found), pa.int64()), *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(cols, names=["run_id", "key", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.run").load(path).select("path", "content")
+    return files.crossJoin(chunks).mapInArrow(find, RUN_ENTRY)  # a stated set of keys in blocks, against every file
+
+
+def write_run_files(entries: DataFrame, folder: str) -> DataFrame:
+    """Write (run_id, key, value) as files ``<run_id>.run`` below ``folder`` (a URI); returns (run_id, n_bytes)."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs, images = b.column("run_id").to_pylist(), b.column("content").to_pylist()
+            for run, image in zip(runs, images, strict=True):
+                _put(folder, f"{run}.run", image)
+            yield pa.RecordBatch.from_arrays([b.column("run_id"), pa.array([len(x) for x in images], pa.int64())], names=["run_id", "n_bytes"])
+
+    return cut(run_images(entries).mapInArrow(write, "run_id long, n_bytes long"))
+
+
 def run_images(entries: DataFrame) -> DataFrame:
     """(run_id, content): each run's file image. A run is one flush, so it fits a task."""
 

@@ -25,8 +25,3 @@ def from_events(events: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame:
 
 def read_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(table(spark, sf_dir, "events"))
-
-
-def normalise(log: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """Any (seq, op, key, value[, run_id]) frame in the operators' column names."""
-    return log.withColumnsRenamed({key: "k", value: "v"})
