@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,9 +13,21 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch_path
 
 
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 1000
+
+
+def frugal(docs: DataFrame) -> DataFrame:
+    """``docs``, once its session sends at most ``ARROW_ROWS`` rows to a Python worker at a time: a batch of whole texts is held by both sides, several times over."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return docs
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, *more) of any documents frame; a null text is empty. Other columns never reach an operator, so their names cannot clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+    return frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def save(df: DataFrame, label: str) -> DataFrame:
@@ -23,6 +37,28 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait for more tasks, and what they hold counts beside the executor."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc:
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def arrow_task(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow``, with its freed memory released when the task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def per_batch(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply ``f`` (columns as lists, to columns as lists) to each Arrow batch; memory is one batch."""
     from pyspark.sql.types import StructType
@@ -35,4 +71,4 @@ def per_batch(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], sc
             got = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(arrow_task(run), schema)

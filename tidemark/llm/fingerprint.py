@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import arrow_task, texts
 
 EXACT, SKETCH = 32, 256
 WIDTH = EXACT + SKETCH + 1
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             v = vectors(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(encode(v), pa.string())], names=["doc_id", "fingerprint"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return texts(docs).mapInArrow(arrow_task(run), "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -173,4 +173,4 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(encode(mine)), pa.array(encode(ed)), pa.array(likeness(mine, ed)), pa.array(likeness(mine, np.stack(nxt)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_next(docs).mapInArrow(run, schema)
+    return with_next(docs).mapInArrow(arrow_task(run), schema)

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, save
+from tidemark.llm.common import arrow_task, frugal, per_batch, save
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 PER_LANG, EPOCHS, RATE, SEED = 600, 6, 20.0, 11
@@ -180,7 +180,7 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     """Model from at most ``per_lang`` documents of each language that are not held out."""
-    fit_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    fit_rows = frugal(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     keys = fit_rows.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
     keys = keys.withColumn("salt", F.pmod(F.col("t"), F.lit(SALTS)))
 
@@ -198,7 +198,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
             cols = [pa.array([g[i].astype("<i4").tobytes() for g in got], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("lang", "h", "t")), *cols], names=["lang", "h", "t", "rows", "n"])
 
-    found = rows.mapInArrow(counts, "lang string, h long, t long, rows binary, n binary").dropDuplicates(["lang", "h", "t"])
+    found = rows.mapInArrow(arrow_task(counts), "lang string, h long, t long, rows binary, n binary").dropDuplicates(["lang", "h", "t"])
     got = sorted(found.collect(), key=lambda r: (r["h"], r["t"], r["lang"]))
     return fit([(r["lang"], np.frombuffer(r["rows"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<i4").astype(np.float64)) for r in got])
 
@@ -211,5 +211,5 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
         lang, score, rejected = m.predict(b["text"])
         return {"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": lang, "score": score, "rejected": rejected}
 
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    t = frugal(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return per_batch(t, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

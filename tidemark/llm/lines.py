@@ -1,23 +1,23 @@
 """Operator 6: line dedup by a log-template tree of fixed depth.
 
-A line's leaf is its token count and its ``DEPTH`` leading tokens; in a second
-tree it is the count and the ``DEPTH`` last tokens, which serves lines whose
-field comes first. Tokens with a digit or ``@`` are variable: in the tree they
-stand for each other. Fields are learned in every leaf that holds different
-lines: the distinct lines' tokens are counted by position (aggregated map-side,
-so a hot leaf is never gathered), and the most frequent one of each position
-makes the leaf's pattern. A line belongs to the template if it equals the
-pattern in ``LEAST_CONSTANT`` positions and in ``SIMILAR`` of those that are not
-variable in both; where it differs is a field. All other lines, such as rows of
-numbers or prose that only begins alike, are templates of their own, equal to
-lines of the same tokens only.
+A line's leaf is its token count and its leading tokens: the first third of them
+and at least ``DEPTH``. Two more trees take the middle and the last tokens
+instead, and serve lines whose field is among the first. Tokens with a digit or
+``@`` are variable: in the trees they stand for each other. Fields are learned in
+every leaf that holds different lines: the distinct lines' tokens are counted by
+position (aggregated map-side, so a hot leaf is never gathered), and the most
+frequent one of each position makes the leaf's pattern. A line belongs to the
+template if it equals the pattern in ``LEAST_CONSTANT`` positions and in
+``SIMILAR`` of those that are not variable in both; where it differs is a field.
+All other lines, such as rows of numbers or prose that only begins alike, are
+templates of their own, equal to lines of the same tokens only.
 
 A template with lines in two or more documents recurs: its lines stay in the
 first document (smallest ``doc_id``) and are dropped from all others. Blank
 lines have no template. One rule holds for lines of every length and script.
 
-Tokens are compared by 16 bits of their hash within a leaf, so two different
-tokens pass as equal once in 65535. Only first and last documents are aggregated
+Tokens are compared by 8 bits of their hash within a leaf, so two different
+tokens pass as equal once in 255. Only first and last documents are aggregated
 per line and per template, so a line in a third of all documents costs one row
 per task; the recurring ones are joined back as a broadcast when their bytes are
 counted as few, else by a join that AQE splits where it is skewed. Texts are
@@ -38,17 +38,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import save
+from tidemark.llm.common import arrow_task, frugal, save
 from tidemark.llm.word_hash import byte_table, word_hashes
 from tidemark.session import broadcast_if_small
 
-DEPTH, SIMILAR, LEAST_CONSTANT = 2, 0.75, 3
+DEPTH, SIMILAR, LEAST_CONSTANT = 3, 0.75, 3
+TREES = 3  # by leading, middle and last tokens
 SALTS = 8
 #: Lines tokenised at once are of texts of about this many characters.
 BATCH_CHARS = 1 << 18
 _VARIABLE = byte_table("0123456789@")
 _M = np.uint64(0x9E3779B97F4A7C15)
-_WILD = 1  # the lowest bit of a token's hash tells variable ones
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -56,32 +56,31 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
 
 
-def _leaf(h: np.ndarray, n: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
-    """Leaf of each line from its tokens at the places ``at`` (one row per depth, -1 where a line is shorter)."""
-    out = _mix(n.astype(np.uint64) * _M + np.uint64(side))
-    for row in at:
-        t = h[np.maximum(row, 0)]
-        t = np.where(row < 0, np.uint64(0), np.where(t & np.uint64(_WILD), np.uint64(_WILD), t))
-        out = _mix(out ^ t)
-    return out
-
-
 def hashed_lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the non-blank ones among the \\n-split lines: their numbers, hashes, leaves (one row per tree), 16-bit tokens (0 for variable ones), and where each line's tokens begin."""
+    """Of the non-blank ones among the \\n-split lines: their numbers, hashes, leaves (a column per tree), 8-bit tokens (0 for variable ones), and where each line's tokens begin.
+
+    A line with too few constant tokens for a template has its own hash for a leaf.
+    """
     h, at, variable = word_hashes(data, mark=_VARIABLE)
-    h = _mix(h) & ~np.uint64(_WILD) | variable.astype(np.uint64)
     feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     n = np.diff(np.concatenate([[0], np.searchsorted(at, feeds), [len(h)]]))
     on = np.flatnonzero(n)
     n = n[on]
     end = np.cumsum(n)
     first = end - n
-    place = (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64)
-    line = _mix(np.add.reduceat(_mix(h + place * _M), first) + n.astype(np.uint64)) if len(on) else h
-    depth = np.arange(DEPTH)[:, None]
-    lead, trail = np.where(depth < n, first + depth, -1), np.where(depth < n, end - 1 - depth, -1)
-    leaves = np.stack([_leaf(h, n, lead, 0), _leaf(h, n, trail, 1)]) if len(on) else np.zeros((2, 0), np.uint64)
-    tokens = np.where(h & np.uint64(_WILD), 0, 1 + (h >> np.uint64(48)) % np.uint64(65535)).astype("<u2")
+    h = _mix(h)
+    place = (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64) * _M
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h + place), dtype=np.uint64)])
+    line = _mix((total[end] - total[first]) ^ _mix(n.astype(np.uint64)))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(np.where(variable, np.uint64(1), h) + place), dtype=np.uint64)])
+    width = np.minimum(n, np.maximum(DEPTH, -(-n // 3)))
+    solid = n - np.diff(np.concatenate([[0], np.cumsum(variable)[end - 1]])) if len(on) else n
+    leaves = np.empty((len(on), TREES), np.uint64)
+    for tree in range(TREES):
+        a = first + tree * (n - width) // (TREES - 1)
+        leaf = _mix((total[a + width] - total[a]) ^ _mix(n.astype(np.uint64) * np.uint64(TREES) + np.uint64(tree)))
+        leaves[:, tree] = np.where(solid >= LEAST_CONSTANT, leaf, line)
+    tokens = np.where(variable, 0, 1 + (h >> np.uint64(56)) % np.uint64(255)).astype(np.uint8)
     return on, line, leaves, tokens, np.append(first, len(h))
 
 
@@ -90,8 +89,8 @@ def _doc() -> Column:
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """(d, t, pos, line, lead, trail, tokens) of every non-blank line, saved; t is the hash of the whole text."""
-    own = docs.where("text is not null").select(_doc().alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    """(d, t, pos, line, leaves, tokens) of every non-blank line, saved; t is the hash of the whole text."""
+    own = frugal(docs).where("text is not null").select(_doc().alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,34 +103,39 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
                 data = [x.encode() for x in texts[at:end]]
                 n = np.array([x.count(b"\n") + 1 for x in data], np.int64)
                 on, line, leaves, tokens, cuts = hashed_lines(b"\n".join(data))
-                owner = np.repeat(np.arange(at, end), n)[on]
+                owner = pa.array(np.repeat(np.arange(at, end), n)[on])
                 pos = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[on]
-                held = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer((2 * cuts).astype("<i4")), pa.py_buffer(tokens)])
-                cols = [b.column("d").take(pa.array(owner)), b.column("t").take(pa.array(owner)), pa.array(pos.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (line, *leaves)), held]
-                yield pa.RecordBatch.from_arrays(cols, names=["d", "t", "pos", "line", "lead", "trail", "tokens"])
+                held = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(cuts.astype("<i4")), pa.py_buffer(tokens)])
+                trees = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1, dtype=np.int32) * TREES), pa.array(leaves.ravel().view(np.int64)))
+                cols = [b.column("d").take(owner), b.column("t").take(owner), pa.array(pos.astype(np.int32)), pa.array(line.view(np.int64)), trees, held]
+                yield pa.RecordBatch.from_arrays(cols, names=["d", "t", "pos", "line", "leaves", "tokens"])
                 at = end
 
-    return save(own.mapInArrow(run, "d long, t long, pos int, line long, lead long, trail long, tokens binary"), "line-keys")
+    return save(own.mapInArrow(arrow_task(run), "d long, t long, pos int, line long, leaves array<long>, tokens binary"), "line-keys")
 
 
-def templates(keyed: DataFrame, tree: str) -> DataFrame:
-    """(line, key): the lines that belong to a learned template of one tree; ``key`` is its leaf."""
-    several = keyed.groupBy(tree).agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select(tree)
-    own = keyed.join(broadcast_if_small(save(several, "line-leaves")), tree, "left_semi")
-    own = save(own.groupBy(F.col(tree).alias("leaf"), "line").agg(F.first("tokens").alias("tokens")), "leaf-lines")
+def templates(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, key): the lines that belong to learned templates, saved; ``key`` is a template's leaf."""
+    pairs = lines.select("line", F.explode("leaves").alias("leaf"))
+    several = pairs.groupBy("leaf").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("leaf")
+    own = save(pairs.join(broadcast_if_small(save(several, "line-leaves")), "leaf", "left_semi"), "leaf-lines")
+    wanted = broadcast_if_small(save(own.select("line").distinct(), "template-lines"))
+    held = save(keyed.select("line", "tokens").join(wanted, "line", "left_semi").groupBy("line").agg(F.first("tokens").alias("tokens")), "line-tokens")
+    own = own.join(held, "line").select("leaf", "line", "tokens")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1000):
-                part = [np.frombuffer(x, "<u2") for x in b.column("tokens")[i : i + 1000].to_pylist()]
+                part = [np.frombuffer(x, np.uint8) for x in b.column("tokens")[i : i + 1000].to_pylist()]
                 n = np.array([len(x) for x in part], np.int64)
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 leaf = b.column("leaf").take(pa.array(i + np.repeat(np.arange(len(part)), n)))
-                yield pa.RecordBatch.from_arrays([leaf, pa.array(place.astype(np.int32)), pa.array(np.concatenate(part).astype(np.int32))], names=["leaf", "place", "token"])
+                # place and token in one number, so that counting compares two longs
+                yield pa.RecordBatch.from_arrays([leaf, pa.array(place * 256 + np.concatenate(part))], names=["leaf", "at"])
 
-    counted = own.select("leaf", "tokens").mapInArrow(tokens, "leaf long, place int, token int").groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
-    pattern = top.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("pattern"))  # as long as a line
+    counted = own.select("leaf", "tokens").mapInArrow(arrow_task(tokens), "leaf long, at long").groupBy("leaf", "at").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.groupBy("leaf", F.expr("at div 256").alias("place")).agg(F.max(F.expr("n * 256 + at % 256")).alias("most"))
+    pattern = top.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "most"))), lambda x: x["most"] % 256).alias("pattern"))  # as long as a line
     dealt = own.withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
     j = dealt.join(pattern.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["leaf", "salt"])
 
@@ -139,21 +143,22 @@ def templates(keyed: DataFrame, tree: str) -> DataFrame:
         for b in batches:
             on = []
             for i in range(b.num_rows):
-                x, y = np.frombuffer(b.column("tokens")[i].as_buffer(), "<u2"), b.column("pattern")[i].values.to_numpy()
+                x, y = np.frombuffer(b.column("tokens")[i].as_buffer(), np.uint8), b.column("pattern")[i].values.to_numpy()
                 same, wild = int(((x == y) & (x != 0)).sum()), int(((x == 0) & (y == 0)).sum())
                 on.append(same >= LEAST_CONSTANT and same >= SIMILAR * (len(x) - wild))
             yield b.select(["line", "leaf"]).rename_columns(["line", "key"]).filter(pa.array(on, pa.bool_()))
 
-    return save(j.select("line", "leaf", "tokens", "pattern").mapInArrow(match, "line long, key long"), "line-templates")
+    return save(j.select("line", "leaf", "tokens", "pattern").mapInArrow(arrow_task(match), "line long, key long"), "line-templates")
 
 
 def recurring(docs: DataFrame) -> DataFrame:
     """(_x_d, _x_t, _x_pos): places of lines to drop, by document and text hash."""
     keyed = keyed_lines(docs)
-    lines = save(keyed.groupBy("line").agg(F.min("d").alias("first"), F.max("d").alias("last")), "lines")
-    named = save(templates(keyed, "lead").union(templates(keyed, "trail")).join(lines, "line"), "named-lines")
+    lines = save(keyed.groupBy("line").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.first("leaves").alias("leaves")), "lines")
+    named = save(templates(keyed, lines).join(lines.drop("leaves"), "line"), "named-lines")
     by_key = named.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last")
-    shared = named.select("line", "key").join(by_key, "key").select("line", "first")
+    salted = by_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = named.select("line", "key", F.pmod("line", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["key", "salt"]).select("line", "first")
     again = shared.union(lines.where("first < last").select("line", "first")).groupBy("line").agg(F.min("first").alias("first"))
     again = save(again, "lines-again")
     return keyed.select("d", "t", "pos", "line").join(broadcast_if_small(again), "line").where("d > first").select(F.col("d").alias("_x_d"), F.col("t").alias("_x_t"), F.col("pos").alias("_x_pos"))
@@ -185,4 +190,4 @@ def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:
             more = [pa.array(n, pa.int64()), pa.array(gone, pa.int64())] if counts else []
             yield pa.RecordBatch.from_arrays(cols + more, names=[f.name for f in fields])
 
-    return j.mapInArrow(run, StructType(fields))
+    return j.mapInArrow(arrow_task(run), StructType(fields))

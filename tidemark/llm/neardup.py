@@ -39,17 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import save
+from tidemark.llm.common import arrow_task, frugal, save
 from tidemark.llm.word_hash import byte_table, word_hashes
 from tidemark.session import broadcast_if_small
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS, LEADERS = 14, 3, 4
 HEAVY, SLOTS = 0.005, 1 << 20
-CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 24
+CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 23
 BATCH_CHARS = 1 << 18
 PART_CHARS, MAX_TASKS = 1 << 23, 8192
-DRAWS, SALTS = 1 << 16, 8
+DRAWS, SALTS = 1 << 15, 8
 FREQ = np.dtype([("s", "<u8"), ("c", "<u8")])
 MAX_ROUNDS = 60
 #: Different texts of a task whose band keys are remembered.
@@ -244,7 +244,7 @@ def _summed(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_counts(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, Weights, int]:
     """Saved (p, s, c): per range of hashes the shingles of two or more documents and their counts; the weights for candidates; the number of ranges."""
-    t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = frugal(docs).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total, chars = t.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     parts = min(SLOTS, 1 << max(0, (chars or 0) // PART_CHARS).bit_length())
     width, least = SLOTS // parts, HEAVY * total
@@ -289,7 +289,7 @@ def shingle_counts(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> tuple[Dat
         cols = [s[on].tobytes(), c[on].astype("<u8").tobytes(), s[many].tobytes(), c[many].astype("<u8").tobytes(), mean.tobytes()]
         return pa.table({"p": pa.array([p], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("s", "c", "hs", "hc", "mean"), cols, strict=True)}})
 
-    dealt = t.mapInArrow(deal, "p long, s binary, c binary").repartition(min(parts, MAX_TASKS), "p")
+    dealt = t.mapInArrow(arrow_task(deal), "p long, s binary, c binary").repartition(min(parts, MAX_TASKS), "p")
     counts = save(dealt.groupBy("p").applyInArrow(count, "p long, s binary, c binary, hs binary, hc binary, mean binary"), "shingle-counts")
     slots, keys, found = np.ones(SLOTS, np.float32), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in counts.select("p", "hs", "hc", "mean").toLocalIterator():  # SLOTS means, and at most average length / HEAVY frequent shingles
@@ -315,7 +315,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
             keys = pa.array([known[n] for n in nodes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("node"), keys], names=["k", "node", "keys"])
 
-    return save(_nodes(docs).mapInArrow(run, "k long, node binary, keys array<long>"), "signatures")
+    return save(_nodes(docs).mapInArrow(arrow_task(run), "k long, node binary, keys array<long>"), "signatures")
 
 
 def buckets(sigs: DataFrame) -> DataFrame:
@@ -404,12 +404,12 @@ def profiles(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, counts: DataFra
                     sums.append(weights.of(s[a:z], n[a:z], freq[at + i]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], names=["node", "s", "w"])
 
-    asked = save(held.mapInArrow(ask, "p long, chunk binary, s binary, own binary"), "shingles-asked")
+    asked = save(held.mapInArrow(arrow_task(ask), "p long, chunk binary, s binary, own binary"), "shingles-asked")
     tasks = min(parts, MAX_TASKS)
     got = asked.where("p >= 0").repartition(tasks, "p").groupBy("p").cogroup(counts.repartition(tasks, "p").groupBy("p")).applyInArrow(answer, "chunk binary, s binary, own binary")
     back = got.select(F.lit(0).cast("long").alias("p"), "chunk", "s", "own").unionByName(asked.where("p = -1"))
     freq = back.groupBy("chunk").applyInArrow(gather, "node binary, freq binary")
-    return save(held.join(freq, "node").mapInArrow(weigh, "node binary, s binary, w binary"), "profiles")
+    return save(held.join(freq, "node").mapInArrow(arrow_task(weigh), "node binary, s binary, w binary"), "profiles")
 
 
 def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -459,20 +459,21 @@ def rest_prefixes(texts: DataFrame, rows: DataFrame, labels: DataFrame, weights:
             yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), named], names=["s", "rest", "w", "node"])
 
     held = texts.join(broadcast_if_small(nodes), "node", "left_semi").select("node", "s", "w")
-    return save(held.mapInArrow(run, "s long, rest double, w double, node binary"), "prefixes")
+    return save(held.mapInArrow(arrow_task(run), "s long, rest double, w double, node binary"), "prefixes")
 
 
 def prefix_pairs(found: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
     """(a, b): pairs of different groups that share a prefix shingle and can be similar; with ``few`` only those with the shingle's ``LEADERS`` texts."""
     own = found.join(labels, "node", "left").select("s", "rest", "w", "node", F.coalesce("label", "node").alias("label"))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     mixed = own.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
-    own = save(own.join(mixed, "s", "left_semi"), "mixed-prefixes")
+    own = save(own.join(_salted(mixed), ["s", "salt"], "left_semi"), "mixed-prefixes")
     low = own.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"), F.col("rest").alias("left"))
     if few:
         rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc(F.col("left") / F.col("v")), "b"))
         low = low.withColumn("r", rank).where(F.col("r") <= LEADERS).drop("r")
     able = f"label <> other and least(rest, left) >= {SIMILAR / (1 + SIMILAR) * (1 - 1e-9)} * (w + v)"
-    met = own.join(low, "s").where(able if few else f"node > b and {able}")
+    met = own.join(_salted(low), ["s", "salt"]).where(able if few else f"node > b and {able}")
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
@@ -492,7 +493,7 @@ def verified_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     sims.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return save(j.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary, sim double"), "links")
+    return save(j.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(arrow_task(run), "a binary, b binary, sim double"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import per_batch, texts
 
 MARK = "▁"
-TABLE_LIMIT = 500_000
+#: Distinct chunks that a worker remembers; longer ones than ``CHUNK_CHARS`` are encoded anew each time.
+TABLE_LIMIT, CHUNK_CHARS = 400_000, 64
 _CACHE: dict[str, PieceTable] = {}
 
 
@@ -62,7 +63,9 @@ class PieceTable(dict):
             ids = [self.lead]
         else:
             ids = self.sp.encode(chunk)
-        packed = self[chunk] = self._pack(ids)
+        packed = self._pack(ids)
+        if len(chunk) <= CHUNK_CHARS:
+            self[chunk] = packed
         return packed
 
     def packed(self, text: str) -> bytes:

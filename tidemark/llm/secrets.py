@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, texts
+from tidemark.llm.common import arrow_task, frugal, per_batch, texts
 
 #: Kinds in their order at equal starts.
 KINDS = ("assign", "access", "hex", "random")
@@ -166,8 +166,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> SecretModel:
     """Models from generated random strings and the words of a bounded sample (the ``sample_docs`` smallest hashes of ``doc_id``)."""
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    letters = F.array_distinct(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+"))
-    words = picked.select(F.explode(letters).alias("w")).where("length(w) between 2 and 40").groupBy("w").count()
+    letters = F.array_distinct(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+"))  # pieces of keys with digits are no words
+    words = picked.select(F.explode(letters).alias("w")).where("w rlike '^[A-Za-z]{2,40}$'").groupBy("w").count()
     top = words.orderBy(F.desc("count"), "w").limit(4 * SAMPLE_STRINGS)
     return SecretModel(generated(), identifiers([r["w"] for r in top.collect()]))
 
@@ -271,4 +271,4 @@ def redact(docs: DataFrame, model: SecretModel | None = None, mark: str = "<SECR
             new = pa.array([None if x is None else clean(x, base + more) for x, (base, more) in zip(own, found, strict=True)], b.schema.field(text).type)
             yield b.set_column(text, b.schema.field(text), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return frugal(docs).mapInArrow(arrow_task(run), docs.schema)

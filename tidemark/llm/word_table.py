@@ -13,8 +13,9 @@ import re
 
 import numpy as np
 
-#: Distinct chunks of a generation. A full table becomes the old generation, from which chunks still in use return.
-TABLE_LIMIT = 400_000
+#: Distinct chunks of a generation; longer ones than ``CHUNK_CHARS`` are encoded anew each time. A full table becomes the old generation, from which chunks still in use return.
+TABLE_LIMIT = 300_000
+CHUNK_CHARS = 64
 _CACHE: dict[str, WordTable] = {}
 
 #: The pre-tokenizer's alternatives for lower-cased ASCII and Latin-1 text.
@@ -59,7 +60,9 @@ class WordTable(dict):
                 self.parts[part] = got
         if got is None:
             spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            got = self.parts[part] = self._pack([t.id for t in self.tok.model.tokenize(spelled)])
+            got = self._pack([t.id for t in self.tok.model.tokenize(spelled)])
+            if len(part) <= CHUNK_CHARS:
+                self.parts[part] = got
         return got
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -76,17 +79,20 @@ class WordTable(dict):
         if ids is not None:
             self[chunk] = ids
             return ids
-        if chunk.isascii() and chunk.isalpha():
-            ids = self._part(chunk.lower())
-        elif chunk[-1] in ".," and chunk[:-1].isascii() and chunk[:-1].isalpha():
-            ids = self._part(chunk[:-1].lower()) + self._part(chunk[-1])
-        elif _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            ids = b"".join([self._part(p) for p in _PIECES.findall(chunk.lower())])
-        else:
-            ids = self._pack(self.tok.encode(chunk, add_special_tokens=False).ids)
-        self[chunk] = ids
+        ids = self._encoded(chunk)
+        if len(chunk) <= CHUNK_CHARS:
+            self[chunk] = ids
         return ids
 
+    def _encoded(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._part(chunk.lower())
+        if chunk[-1] in ".," and chunk[:-1].isascii() and chunk[:-1].isalpha():
+            return self._part(chunk[:-1].lower()) + self._part(chunk[-1])
+        if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            return b"".join([self._part(p) for p in _PIECES.findall(chunk.lower())])
+        return self._pack(self.tok.encode(chunk, add_special_tokens=False).ids)
+
     def packed(self, text: str) -> bytes:
         """The packed ids of ``text``."""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
