@@ -31,37 +31,48 @@ END_ID = 1
 
 
 class _Sums:
-    """Pairs of available lengths by their sum, found when first asked and never re-searched past exhausted ones."""
+    """Singles, pairs and triples of available lengths by their sum.
+
+    ``held`` are pieces that are set aside while a combination is sought. A pair
+    that only they block is skipped for now; the place in a sum's list of pairs
+    moves on only past pairs that the real counts no longer allow.
+    """
 
     def __init__(self, count: np.ndarray):
         self.count, self.pairs = count, {}
 
-    def single(self, gap: int) -> tuple[int, ...] | None:
-        return (gap,) if self.count[gap] > 0 else None
+    def left(self, n: int, held: dict[int, int]) -> int:
+        return int(self.count[n]) - held.get(n, 0)
+
+    def single(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
+        return (gap,) if self.left(gap, held) > 0 else None
+
+    def _fits(self, a: int, gap: int, held: dict[int, int]) -> bool:
+        if 2 * a == gap:
+            return self.left(a, held) >= 2
+        return self.left(a, held) >= 1 and self.left(gap - a, held) >= 1
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
+    def pair(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
         if gap not in self.pairs:
             a = np.arange(gap - 1, (gap - 1) // 2, -1)
-            self.pairs[gap] = [a[(self.count[a] > 0) & (self.count[gap - a] > 0)], 0]
+            self.pairs[gap] = [a[(self.count[a] > 0) & (self.count[gap - a] > 0)].tolist(), 0]
         at = self.pairs[gap]
-        while at[1] < len(at[0]):
-            a = int(at[0][at[1]])
-            need = 2 if 2 * a == gap else 1
-            if self.count[a] >= need and self.count[gap - a] >= need:
-                return a, gap - a
+        while at[1] < len(at[0]) and not self._fits(at[0][at[1]], gap, {}):
             at[1] += 1
+        for i in range(at[1], len(at[0])):
+            a = at[0][i]
+            if self._fits(a, gap, held):
+                return a, gap - a
         return None
 
-    def triple(self, gap: int) -> tuple[int, ...] | None:
-        for a in np.flatnonzero(self.count[: max(gap - 1, 0)])[::-1]:
-            a = int(a)
+    def triple(self, gap: int, held: dict[int, int]) -> tuple[int, ...] | None:
+        for a in np.flatnonzero(self.count[: max(gap - 1, 0)])[::-1].tolist():
             if 3 * a < gap:
                 return None
-            self.count[a] -= 1
-            rest = self.pair(gap - a)
-            self.count[a] += 1
-            if rest:
-                return (a, *rest)
+            if self.left(a, held) > 0:
+                rest = self.pair(gap - a, {**held, a: held.get(a, 0) + 1})
+                if rest:
+                    return (a, *rest)
         return None
 
 
@@ -89,9 +100,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, di
     for n in range(capacity - 1, 0, -1):
         for find in (sums.single, sums.pair, sums.triple):
             while c[n] > 0:
-                c[n] -= 1  # the piece whose gap is filled is not its own partner
-                combo = find(capacity - n)
-                c[n] += 1
+                combo = find(capacity - n, {n: 1})  # the piece whose gap is filled is not its own partner
                 if combo is None or not consume((n, *combo)):
                     break
     return out + _best_fit(c, capacity)
