@@ -6,8 +6,9 @@ Each task streams its partition into three files in the shared folder:
 (unsigned 64-bit, documents + 1, in ids) and ``.docs`` (64-bit ids). A file
 appears by rename, so a retried task replaces its own output. One manifest row
 per partition gives, by prefix sums, each partition's base. Reading maps the
-files into memory (local or mounted folders) or reads them through Arrow's file
-systems.
+files into memory (local or mounted folders); in stores that cannot be mapped a
+task reads offsets and ids of a batch of documents at a time, through Arrow's file
+systems (``file``, ``hdfs``, ``s3``, ``gs`` and ``abfs`` paths).
 
 Edge cases: a null text is empty and holds only the end id; a null ``doc_id``
 sorts first and comes back null; repeated rows each have their own entry, equal
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import save, texts
+from tidemark.llm.common import arrow_task, save, texts
 from tidemark.llm.word_table import WordTable
 from tidemark.session import scratch_path
 
@@ -80,22 +82,31 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
             row = [[part], [sum(names)], [n], [f"part-{part:06d}"], [table.width]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["part", "n_docs", "n_ids", "stem", "width"])
 
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    # rows of one id (or none) are dealt by the beginnings of their texts
+    ordered = texts(docs).repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    return save(ordered.mapInArrow(arrow_task(write), MANIFEST), "token-manifest")
 
 
-def _open(folder: str, name: str, dtype: str) -> np.ndarray:
-    from pyarrow.fs import LocalFileSystem
+class _Flat:
+    """A flat file of numbers: mapped where it is local, else read by ranges."""
 
-    fs, root = _fs(folder)
-    path = f"{root}/{name}"
-    if isinstance(fs, LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r")
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    def __init__(self, folder: str, name: str, dtype: str):
+        from pyarrow.fs import LocalFileSystem
 
+        fs, root = _fs(folder)
+        self.dtype, path = np.dtype(dtype), f"{root}/{name}"
+        self.map = np.memmap(path, dtype=dtype, mode="r") if isinstance(fs, LocalFileSystem) else None
+        self.file = None if self.map is not None else fs.open_input_file(path)
+        self.size = len(self.map) if self.file is None else self.file.size() // self.dtype.itemsize
 
-def read_digests(spark: SparkSession, folder: str, manifest: DataFrame, rows_per_batch: int = 10_000) -> DataFrame:
+    def range(self, a: int, z: int) -> np.ndarray:
+        if self.file is None:
+            return self.map[a:z]
+        w = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((z - a) * w, a * w), self.dtype)
+
+
+def read_digests(spark: SparkSession, folder: str, manifest: DataFrame, rows_per_batch: int = 1000) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; ``start`` counts the ids of all documents before."""
     parts, base = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r["part"]):  # one row per partition
@@ -106,16 +117,15 @@ def read_digests(spark: SparkSession, folder: str, manifest: DataFrame, rows_per
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                off = _open(folder, f"{r['stem']}.offsets", "<u8")
-                docs = _open(folder, f"{r['stem']}.docs", "<i8")
-                ids = _open(folder, f"{r['stem']}.ids", f"<u{r['width']}")
-                for i in range(0, len(docs), rows_per_batch):
-                    o = off[i : i + rows_per_batch + 1].astype(np.int64)
-                    d = docs[i : i + rows_per_batch]
-                    crc = [crc_u32(ids[a:z]) for a, z in zip(o[:-1], o[1:], strict=True)]
+                off, docs, ids = (_Flat(folder, f"{r['stem']}.{x}", t) for x, t in (("offsets", "<u8"), ("docs", "<i8"), ("ids", f"<u{r['width']}")))
+                for i in range(0, docs.size, rows_per_batch):
+                    d = docs.range(i, min(i + rows_per_batch, docs.size))
+                    o = off.range(i, i + len(d) + 1).astype(np.int64)
+                    own = ids.range(int(o[0]), int(o[-1]))
+                    crc = [crc_u32(own[a:z]) for a, z in zip(o[:-1] - o[0], o[1:] - o[0], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64(), mask=d == NULL_ID), pa.array(o[:-1] + r["base"]), pa.array(np.diff(o)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return plan.mapInArrow(read, DIGEST)
+    return plan.mapInArrow(arrow_task(read), DIGEST)
 
 
 def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
