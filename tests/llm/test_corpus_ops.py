@@ -39,11 +39,15 @@ def learned(rows):
     all_lines = {tokens_of(x) for _, t in rows for x in (t or "").split("\n")} - {()}
     mask = lambda x: "<*>" if re.search("[0-9@]", x) else x
     out = {t: {("own", t)} for t in all_lines}
-    for tree in ("lead", "trail"):
+    for tree in range(3):
         leaves = defaultdict(list)
         for t in all_lines:
             m = tuple(map(mask, t))
-            leaves[(tree, len(t), m[: lines.DEPTH] if tree == "lead" else m[::-1][: lines.DEPTH])].append((t, m))
+            n = len(t)
+            w = min(n, max(lines.DEPTH, -(-n // 3)))
+            a = (0, (n - w) // 2, n - w)[tree]
+            if sum(x != "<*>" for x in m) >= lines.LEAST_CONSTANT:
+                leaves[tree, n, m[a : a + w]].append((t, m))
         for leaf, own in leaves.items():
             if len(own) < 2:
                 continue
@@ -380,6 +384,32 @@ def test_pipeline(spark, sf, plain):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "secret_scan", "best_fit_packing"]
 
 
+def test_pipeline_awkward(spark, tmp_path):
+    """Nulls in any column, repeated ids and rows, copies, secrets, an empty table and extra columns with clashing names."""
+    say = lambda i, n=60: " ".join(f"w{(i * 7919 + j * 104729) % 99991}" for j in range(n))
+    key = "Zx81kQ0pLm47TyWq93VbNe5R"
+    rows = [*AWKWARD, (50, say(1)), (51, say(1)), (None, say(2)), (None, say(3)), (7, say(4)), (7, say(5)), (7, say(5)), (52, say(6) + "\nAll rights of this page are reserved\n" + key), (53, say(8) + "\nAll rights of this page are reserved")]
+    d = docs(spark, rows).withColumn("lang", __import__("pyspark.sql.functions", fromlist=["x"]).expr("if(doc_id = 50, null, lang)"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    frame = d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        frame = spark.read.parquet(str(tmp_path / name))
+        assert frame.columns == d.columns, name
+        seen.append(frame.count())
+    left = Counter((r["doc_id"], r["text"]) for r in frame.collect())
+    assert left[50, say(1)] == 1 and not any(i == 51 and t for i, t in left)  # all lines of the copy recur
+    assert sum(n for (_, t), n in left.items() if not t) <= 1
+    assert left[None, say(2)] == left[None, say(3)] == left[7, say(4)] == left[7, say(5)] == 1
+    assert left[52, say(6) + "\nAll rights of this page are reserved\n<SECRET>"] == 1 and left[53, say(8)] == 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in left} and all(r["length"] <= 4096 for r in got)
+    d.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stages_keep_columns(spark):
     d = docs(spark, [(i, f"word{i} " * 3 + "the quick brown fox jumps over a lazy dog while ten wise owls look on from trees") for i in range(30)])
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -94,6 +94,26 @@ def test_files_awkward(spark, tok, tmp_path):
     assert not list((tmp_path / "a").glob(".*ids"))
 
 
+def test_files_by_ranges(spark, tok, tmp_path, monkeypatch):
+    """Stores that cannot be mapped are read by ranges, with the same result; rows without an id are spread."""
+    import pyarrow.fs as pafs
+
+    rows = [*AWKWARD, *[(None, f"text {i} of no id") for i in range(300)]]
+    d = docs(spark, rows).repartition(3)
+    folder = f"file://{tmp_path}/c"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        m = token_files.write_files(d, folder, WORD)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check_files(rows, token_files.read_digests(spark, folder, m, 7).collect(), tok)
+    assert m.count() > 2 and max(r["n_docs"] for r in m.collect()) < 200
+    local = token_files._Flat(folder, f"{m.first()['stem']}.ids", "<u2")
+    monkeypatch.setattr(pafs, "LocalFileSystem", type("Other", (), {}))
+    remote = token_files._Flat(folder, f"{m.first()['stem']}.ids", "<u2")
+    assert remote.map is None and remote.size == local.size and (remote.range(3, local.size) == local.range(3, local.size)).all()
+
+
 # 5
 
 
@@ -149,6 +169,28 @@ def test_triple_is_found():
     assert packing.plan({50: 2, 4: 2, 5: 4}, 64) == [(2, {50: 1, 5: 2, 4: 1})]
 
 
+def test_held_pieces_block_no_pair_for_good():
+    """A pair that only a set-aside piece blocks is found again once that piece is free."""
+    c = np.zeros(65, np.int64)
+    c[[10, 20]] = 1
+    sums = packing._Sums(c)
+    assert sums.pair(30, {10: 1}) is None and sums.pair(30, {}) == (20, 10)
+    c[10] = 0
+    assert sums.pair(30, {}) is None
+    rng = np.random.default_rng(9)
+    for _ in range(200):  # every pair that the counts allow is found, whatever was asked before
+        c = rng.integers(0, 3, 40)
+        sums = packing._Sums(c)
+        for _ in range(30):
+            gap, held = int(rng.integers(2, 40)), {int(rng.integers(1, 39)): 1}
+            free = c.copy()
+            for n in held:
+                free[n] -= 1
+            want = any((free[a] >= 2) if 2 * a == gap else (free[a] > 0 and free[gap - a] > 0) for a in range(1, gap))
+            assert (sums.pair(gap, held) is not None) == want
+            c[rng.integers(0, 40)] *= 0
+
+
 # 1
 
 

@@ -118,15 +118,15 @@ def thresholds(counted: DataFrame) -> DataFrame:
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in LEAST_JUMP]]
     names = [f"{side}_{k}" for k, side in SIDES]
 
-    def drawn(inner: DataFrame, outer: DataFrame, by: list[str]) -> DataFrame:
+    def drawn(inner: DataFrame, outer: dict[str, Column]) -> DataFrame:
         """Bounds of ``inner``, each drawn to those of ``outer`` by ``PRIOR`` documents."""
-        o = outer.select(*by, *[F.col(x).alias(f"o_{x}") for x in names])
-        j = inner.join(o, by) if by else inner.join(F.broadcast(o), F.lit(True))  # one row
-        return j.select(*inner.columns[: inner.columns.index("n") + 1], *[((F.col("n") * F.col(x) + PRIOR * F.col(f"o_{x}")) / (F.col("n") + PRIOR)).alias(x) for x in names])
+        return inner.select(*[c for c in inner.columns if c.startswith("_q_")], "n", *[((F.col("n") * F.col(x) + PRIOR * outer[x]) / (F.col("n") + PRIOR)).alias(x) for x in names])
 
     whole = _bounds(g.agg(*merged).where("n > 0"), [])
-    by_lang = drawn(_bounds(g.groupBy("_q_lang").agg(*merged), ["_q_lang"]), whole, [])
-    out = drawn(_bounds(g, ["_q_lang", "_q_source"]), by_lang, ["_q_lang"])
+    one = whole.select(F.struct(*names)).scalar()
+    by_lang = drawn(_bounds(g.groupBy("_q_lang").agg(*merged), ["_q_lang"]), {x: one[x] for x in names})
+    own = _bounds(g, ["_q_lang", "_q_source"]).join(by_lang.select("_q_lang", *[F.col(x).alias(f"o_{x}") for x in names]), "_q_lang")
+    out = drawn(own, {x: F.col(f"o_{x}") for x in names})
     return out.select("_q_lang", "_q_source", *[(F.col(x) + (SLACK if x.startswith("hi") else -SLACK)).alias(f"_q_{x}") for x in names])
 
 
