@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Each stage works on every row that its predecessor kept. Edge cases: a null or
+empty text fails the quality rules' base rule and goes; a null ``lang`` or
+``source`` is a group of its own; documents without an id, and different texts
+under one id, are different documents and stay or go each by its own text; equal
+rows leave one; an empty table gives no pieces; columns other than the text and
+its ``n_chars`` pass unchanged up to the packing, whatever their names.
+"""
 
 from __future__ import annotations
 

@@ -186,6 +186,18 @@ def wal_files_recover(spark, d):
     return rec.select(run.alias("run_id"), "seq", F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"))
 
 
+_CRC_STEPS = "flatten(list_transform(string_split(k || coalesce(v, ''), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+
+
+@query(
+    "entry_crc",
+    f"WITH {_LOG} SELECT seq, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform({_CRC_STEPS}, lambda x: CAST(x AS BIGINT))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c // 2, 3988292384 * (c % 2)) END)) AS crc FROM log",
+)
+def entry_crc(spark, d):
+    """The checksum that the log stores with every record."""
+    return read_changelog(spark, d).select("seq", kv.entry_crc(F.col("k"), F.col("v")).alias("crc"))
+
+
 @query("wal_high_water", f"WITH {_LOG} SELECT run_id, seq, max(seq) OVER (PARTITION BY run_id ORDER BY seq) AS high FROM log")
 def wal_high_water(spark, d):
     return runs.high_water(read_changelog(spark, d)).select("run_id", "seq", "high")
