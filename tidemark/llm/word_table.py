@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: Distinct chunks of a generation; longer ones than ``CHUNK_CHARS`` are encoded anew each time. A full table becomes the old generation, from which chunks still in use return.
-TABLE_LIMIT = 300_000
+TABLE_LIMIT = 400_000
 CHUNK_CHARS = 64
 _CACHE: dict[str, WordTable] = {}
 
@@ -41,7 +41,8 @@ class WordTable(dict):
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.letters, self.parts = _byte_letters(), {}
+        self.ids = [i.to_bytes(self.width, "little") for i in range(self.tok.get_vocab_size())]
+        self.letters, self.parts, self.model = _byte_letters(), {}, self.tok.model
         self.old: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
         self[""] = b""
@@ -60,14 +61,12 @@ class WordTable(dict):
                 self.parts[part] = got
         if got is None:
             spelled = part if part.isascii() else "".join(self.letters[b] for b in part.encode())
-            got = self._pack([t.id for t in self.tok.model.tokenize(spelled)])
+            ids = self.ids
+            got = b"".join([ids[t.id] for t in self.model.tokenize(spelled)])
             if len(part) <= CHUNK_CHARS:
                 self.parts[part] = got
         return got
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
-
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.limit:
             self.old = dict(self)
@@ -91,7 +90,7 @@ class WordTable(dict):
             return self._part(chunk[:-1].lower()) + self._part(chunk[-1])
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
             return b"".join([self._part(p) for p in _PIECES.findall(chunk.lower())])
-        return self._pack(self.tok.encode(chunk, add_special_tokens=False).ids)
+        return b"".join([self.ids[i] for i in self.tok.encode(chunk, add_special_tokens=False).ids])
 
     def packed(self, text: str) -> bytes:
         """The packed ids of ``text``."""
