@@ -288,3 +288,21 @@ def test_quantiles_by_window(spark):
     got = {r["minute"].minute: r["value"] for r in obs.latency_quantile(s).collect()}
     assert got == {0: 0.00495, 1: 1.0}
     assert {r["n"] for r in obs.throughput(s).collect()} == {1}
+
+
+def test_broadcast_by_rows_and_bytes(spark):
+    from tidemark.session import broadcast_if_small
+
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    d = spark.range(100).select("id", F.expr("repeat('x', 1000)").alias("text"), F.array("id", "id").alias("ids"))
+    assert hinted(broadcast_if_small(d)) and not hinted(broadcast_if_small(d, rows=99)) and not hinted(broadcast_if_small(d, size=100_000))
+    assert hinted(broadcast_if_small(d.drop("text"), size=100 * (8 + 16))) and not hinted(broadcast_if_small(d.drop("text"), size=100 * (8 + 16) - 1))
+    assert hinted(broadcast_if_small(d.limit(0), rows=0, size=0))
+
+
+def test_multi_get_without_broadcast(spark, monkeypatch):
+    rows = log(spark, [(i, "DELETE" if i % 5 == 0 else "PUT", f"k{i % 7}", str(i)) for i in range(40)])
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(10)] + [(None,)], "k string")
+    want = sorted(map(str, lookup.multi_get(rows, keys).collect()))
+    monkeypatch.setattr(lookup, "broadcast_if_small", lambda df: df)
+    assert sorted(map(str, lookup.multi_get(rows, keys).collect())) == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranged import carried, ranged
+from tidemark.operators.ranged import ranged
 
 #: Fixed latency bucket bounds in seconds.
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0)
@@ -47,23 +47,43 @@ def latency_quantile(samples: DataFrame, q: float = 0.99, seconds: int = 60) ->
     return quantile(histogram(timed, by=by), q, by)
 
 
+def _changes(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples by ranges with ``was``, the state before in the range, and ``begun``, where the last change in the range was; and (node, _part, first, prev, turned, lead) of each range.
+
+    A range's first sample is compared with the last of the range before. The
+    ranges themselves are few: one row each is sorted per node.
+    """
+    own = ranged(samples.select("node", "seq", "state"), "node", "seq")
+    w = Window.partitionBy("node", "_part").orderBy("seq")
+    changed = (F.col("i") > 1) & ~F.col("state").eqNullSafe(F.col("was"))
+    inner = own.withColumn("was", F.lag("state").over(w)).withColumn("i", F.row_number().over(w))
+    inner = inner.withColumn("begun", F.max(F.when(changed, F.col("seq"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = inner.groupBy("node", "_part").agg(F.min(F.struct("seq", "state")).alias("first"), F.max(F.struct("seq", "state")).alias("last"), F.max("begun").alias("begun"))
+    p = Window.partitionBy("node").orderBy("_part")
+    ends = ends.withColumn("prev", F.lag("last").over(p))
+    ends = ends.withColumn("turned", F.col("prev").isNull() | ~F.col("first.state").eqNullSafe(F.col("prev.state")))
+    opened = F.when(F.col("turned"), F.col("first.seq"))
+    ends = ends.withColumn("lead", F.coalesce(opened, F.max(F.greatest("begun", opened)).over(p.rowsBetween(Window.unboundedPreceding, -1))))
+    return inner, ends
+
+
 def state_timeline(samples: DataFrame) -> DataFrame:
     """(node, state, start_seq, end_seq, n): maximal stretches of one state per node (0 follower, 1 candidate, 2 leader).
 
     A stretch is named by the place where it begins, carried over ranges of
     ``seq``, so a node's history is spread over tasks.
     """
-    own = ranged(samples.select("node", "seq", "state"), "node", "seq")
-    was = carried(own, "node", ("seq",), F.col("state"), "was")
-    turned = was.withColumn("turn", ~F.col("state").eqNullSafe(F.col("was")))
-    begun = carried(turned, "node", ("seq",), F.col("seq"), "start_seq", F.col("turn"))
+    inner, ends = _changes(samples)
+    begun = inner.join(ends.select("node", "_part", "lead"), ["node", "_part"]).withColumn("start_seq", F.coalesce("begun", "lead"))
     return begun.groupBy("node", "start_seq", "state").agg(F.max("seq").alias("end_seq"), F.count(F.lit(1)).alias("n")).select("node", "state", "start_seq", "end_seq", "n")
 
 
 def elections(samples: DataFrame) -> DataFrame:
     """(node, n): transitions into candidate; a node begins as follower."""
-    own = carried(ranged(samples.select("node", "seq", "state"), "node", "seq"), "node", ("seq",), F.col("state"), "was")
-    return own.groupBy("node").agg(F.count_if((F.col("state") == 1) & (F.coalesce("was", F.lit(0)) != 1)).alias("n"))
+    inner, ends = _changes(samples)
+    within = inner.groupBy("node").agg(F.count_if((F.col("i") > 1) & (F.col("state") == 1) & ~F.col("was").eqNullSafe(F.lit(1))).alias("n"))
+    between = ends.groupBy("node").agg(F.count_if((F.col("first.state") == 1) & F.col("turned")).alias("n"))
+    return within.unionByName(between).groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def gauge_last(samples: DataFrame, limit: float) -> DataFrame:
