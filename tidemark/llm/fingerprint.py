@@ -12,7 +12,7 @@ removed from it in any order and in parallel. It has two groups of lanes:
   It holds for texts in which no lane's sum passes 2^31, so of up to 2^31 clauses.
 
 Edge cases: a null text is empty; a null ``doc_id`` orders below all others and
-stays null; rows of one id are ordered by text; a table of one row is its own
+stays null; rows of one id are ordered by their text's hash; a table of one row is its own
 next document; an empty table gives no rows; other columns are ignored.
 """
 
@@ -114,34 +114,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, text, guest, bucket) laid out so that a document's next one, by descending id, comes just before it.
 
-    Ranges of ``doc_id`` are buckets; the last row of each bucket is also sent
-    as a guest to the bucket above, and the very last to the first. Whole texts
-    are shuffled once; the driver sees one id per bucket.
+    Ranges of ``doc_id`` are buckets; an id (or none) that fills several of them
+    is dealt over as many, by ranges of its texts' hashes. The last row of each
+    bucket is also sent as a guest to the bucket above, and the very last to the
+    first. Whole texts are shuffled once; the driver sees one key per bucket.
     """
     spark = docs.sparkSession
-    t = texts(docs).withColumn("_k", F.coalesce("doc_id", F.lit(_LEAST)))
+    t = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("_k"), F.xxhash64("text").alias("_h"), "text")
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = [i / n for i in range(1, n)]
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("_k"))
-    got = keys.agg(F.percentile_approx("_k", at, 10 * n).alias("c")).first()["c"]
-    cuts = np.unique(np.array(got if got is not None else [], dtype=np.int64))
-
-    def bucket_of(k: pd.Series) -> np.ndarray:
-        return np.searchsorted(cuts, k.to_numpy(np.int64), side="left")
+    got = t.agg(F.percentile_approx("_k", at, 10 * n).alias("c")).first()["c"]
+    cuts, often = np.unique(np.array(got if got is not None else [], dtype=np.int64), return_counts=True)
+    base = np.concatenate([[0], np.cumsum(1 + np.where(often > 1, often, 0))]).astype(np.int64)
+
+    def bucket_of(k: pd.Series, h: pd.Series) -> np.ndarray:
+        k, h = k.to_numpy(np.int64), h.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        i = np.searchsorted(cuts, k, side="left")
+        out = base[i]
+        if len(cuts):
+            own = np.minimum(i, len(cuts) - 1)
+            full = (cuts[own] == k) & (often[own] > 1)
+            part = ((h >> np.uint64(32)) * often[own].astype(np.uint64)) >> np.uint64(32)
+            out = out + np.where(full, 1 + part.astype(np.int64), 0)
+        return out
 
     @F.pandas_udf("long")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(bucket_of(k))
+    def bucket(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(k, h))
 
-    tops = sorted((r["b"], r["top"]) for r in keys.groupBy(bucket("_k").alias("b")).agg(F.max("_k").alias("top")).collect())
-    onward = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
+    tops = sorted((r["b"], r["top"]["_k"], r["top"]["_h"]) for r in t.groupBy(bucket("_k", "_h").alias("b")).agg(F.max(F.struct("_k", "_h")).alias("top")).collect())
+    onward = {(k, h): tops[(i + 1) % len(tops)][0] for i, (_, k, h) in enumerate(tops)}
 
     @F.pandas_udf("array<long>")
-    def homes(k: pd.Series) -> pd.Series:
-        return pd.Series([[int(b)] if (g := onward.get(int(x))) is None else [int(b), g] for b, x in zip(bucket_of(k), k, strict=True)])
+    def homes(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([[int(b)] if (g := onward.get((int(x), int(y)))) is None else [int(b), g] for b, x, y in zip(bucket_of(k, h), k, h, strict=True)])
 
-    spread = t.withColumn("_h", homes("_k")).select("doc_id", "_k", "text", F.posexplode("_h").alias("guest", "bucket"))
-    return spread.repartition("bucket").sortWithinPartitions("bucket", F.desc("guest"), "_k", "text")
+    spread = t.withColumn("_homes", homes("_k", "_h")).select("doc_id", "_k", "_h", "text", F.posexplode("_homes").alias("guest", "bucket"))
+    return spread.repartition("bucket").sortWithinPartitions("bucket", F.desc("guest"), "_k", "_h", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
