@@ -32,6 +32,8 @@ from tidemark.llm.common import arrow_task, texts
 
 EXACT, SKETCH = 32, 256
 WIDTH = EXACT + SKETCH + 1
+#: Characters of a bucket, and how many buckets there are at most: the driver holds one key of each.
+BUCKET_CHARS, MAX_BUCKETS = 1 << 22, 1 << 16
 _LEAST = -(2**63)
 
 
@@ -121,7 +123,9 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     t = texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("_k"), F.xxhash64("text").alias("_h"), "text")
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = t.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = buckets or max(4 * least, min(chars // BUCKET_CHARS, MAX_BUCKETS))  # a task's share does not grow with the corpus
     at = [i / n for i in range(1, n)]
     got = t.agg(F.percentile_approx("_k", at, 10 * n).alias("c")).first()["c"]
     cuts, often = np.unique(np.array(got if got is not None else [], dtype=np.int64), return_counts=True)
@@ -150,7 +154,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return pd.Series([[int(b)] if (g := onward.get((int(x), int(y)))) is None else [int(b), g] for b, x, y in zip(bucket_of(k, h), k, h, strict=True)])
 
     spread = t.withColumn("_homes", homes("_k", "_h")).select("doc_id", "_k", "_h", "text", F.posexplode("_homes").alias("guest", "bucket"))
-    return spread.repartition("bucket").sortWithinPartitions("bucket", F.desc("guest"), "_k", "_h", "text")
+    return spread.repartition(max(least, n // 4), "bucket").sortWithinPartitions("bucket", F.desc("guest"), "_k", "_h", "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
