@@ -48,7 +48,8 @@ BANDS, ROWS, LEADERS = 14, 3, 4
 HEAVY, SLOTS = 0.005, 1 << 20
 CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 23
 BATCH_CHARS = 1 << 18
-PART_CHARS, MAX_TASKS = 1 << 23, 8192
+#: Ranges of hashes are of about so many characters of text; several of them, picked by hash, make a task, so that tasks are of like size.
+PART_CHARS, TASK_PARTS, MAX_TASKS = 1 << 21, 4, 8192
 DRAWS, SALTS = 1 << 15, 8
 FREQ = np.dtype([("s", "<u8"), ("c", "<u8")])
 MAX_ROUNDS = 60
@@ -234,6 +235,10 @@ def _by_part(s: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(p, a, z) for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < z]
 
 
+def _tasks(parts: int) -> int:
+    return max(1, min(parts // TASK_PARTS, MAX_TASKS))
+
+
 def _summed(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of ``s``, sorted, and the sums of ``c``."""
     order = np.argsort(s, kind="stable")
@@ -289,7 +294,7 @@ def shingle_counts(docs: DataFrame, chunk_chars: int = CHUNK_CHARS) -> tuple[Dat
         cols = [s[on].tobytes(), c[on].astype("<u8").tobytes(), s[many].tobytes(), c[many].astype("<u8").tobytes(), mean.tobytes()]
         return pa.table({"p": pa.array([p], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("s", "c", "hs", "hc", "mean"), cols, strict=True)}})
 
-    dealt = t.mapInArrow(arrow_task(deal), "p long, s binary, c binary").repartition(min(parts, MAX_TASKS), "p")
+    dealt = t.mapInArrow(arrow_task(deal), "p long, s binary, c binary").repartition(_tasks(parts), "p")
     counts = save(dealt.groupBy("p").applyInArrow(count, "p long, s binary, c binary, hs binary, hc binary, mean binary"), "shingle-counts")
     slots, keys, found = np.ones(SLOTS, np.float32), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for r in counts.select("p", "hs", "hc", "mean").toLocalIterator():  # SLOTS means, and at most average length / HEAVY frequent shingles
@@ -405,7 +410,7 @@ def profiles(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, counts: DataFra
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], names=["node", "s", "w"])
 
     asked = save(held.mapInArrow(arrow_task(ask), "p long, chunk binary, s binary, own binary"), "shingles-asked")
-    tasks = min(parts, MAX_TASKS)
+    tasks = _tasks(parts)
     got = asked.where("p >= 0").repartition(tasks, "p").groupBy("p").cogroup(counts.repartition(tasks, "p").groupBy("p")).applyInArrow(answer, "chunk binary, s binary, own binary")
     back = got.select(F.lit(0).cast("long").alias("p"), "chunk", "s", "own").unionByName(asked.where("p = -1"))
     freq = back.groupBy("chunk").applyInArrow(gather, "node binary, freq binary")
