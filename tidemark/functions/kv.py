@@ -34,10 +34,6 @@ def is_tombstone(op: Column, value: Column) -> Column:
     return F.coalesce(op == F.lit(DELETE), F.lit(False)) | value.isNull() | (byte_len(value) == 0)
 
 
-def is_live(value: Column) -> Column:
-    return byte_len(value) > 0
-
-
 def entry_crc(key: Column, value: Column) -> Column:
     """CRC-32 (IEEE) over key then value, as the log stores it."""
     empty = F.lit(b"")
