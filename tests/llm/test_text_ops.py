@@ -398,3 +398,38 @@ def test_language_awkward(spark):
     none = langid.identify(d.withColumn("lang", __import__("pyspark.sql.functions", fromlist=["x"]).lit(None).cast("string"))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
     assert langid.identify(d.limit(0)).count() == 0
+
+
+# what workers keep
+
+
+def test_workers_keep_one_table(spark):
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    class Table:
+        def trim(self):
+            pass
+
+    common._TABLES.clear()
+    a = common.worker_table("a", Table)
+    assert common.worker_table("a", Table) is a
+    common.worker_table("b", Table)
+    assert list(common._TABLES) == ["b"]
+    common._TABLES.clear()
+
+    def load(batches):
+        from tidemark.llm.word_table import WordTable
+
+        for b in batches:
+            WordTable.load(WORD).packed("some words")
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._held())] * b.num_rows, pa.int64())], names=["n"])
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._held())] * b.num_rows, pa.int64())], names=["n"])
+
+    d = spark.range(8).repartition(4)
+    assert {r["n"] for r in d.mapInArrow(common.arrow_task(load, tables=True), "n long").collect()} == {1}
+    assert {r["n"] for r in d.mapInArrow(common.arrow_task(count), "n long").collect()} == {0}

@@ -37,8 +37,30 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TABLES: dict[str, object] = {}
+
+
+def worker_table(name: str, make: Callable[[], object]) -> object:
+    """The table that this worker keeps between tasks under ``name``; any other is let go, so that a worker holds one at a time."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = make()
+    return _TABLES[name]
+
+
+def _held() -> list[str]:
+    return list(_TABLES)
+
+
+def drop_tables() -> None:
+    """Let all tables go. (A function, so that tasks reach the worker's own dictionary and not a copy of the driver's.)"""
+    _TABLES.clear()
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers wait for more tasks, and what they hold counts beside the executor."""
+    for t in _TABLES.values():
+        t.trim()
     pa.default_memory_pool().release_unused()
     libc = ctypes.util.find_library("c")
     if libc:
@@ -47,10 +69,12 @@ def release() -> None:
             trim(0)
 
 
-def arrow_task(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``f`` for ``mapInArrow``, with its freed memory released when the task ends."""
+def arrow_task(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tables: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow``, with its freed memory released when the task ends. Unless it uses ``tables``, those of other tasks are let go first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tables:
+            drop_tables()
         try:
             yield from f(batches)
         finally:
@@ -71,4 +95,4 @@ def per_batch(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], sc
             got = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
 
-    return df.mapInArrow(arrow_task(run), schema)
+    return df.mapInArrow(arrow_task(run, tables=True), schema)

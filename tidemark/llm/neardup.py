@@ -46,7 +46,7 @@ from tidemark.session import broadcast_if_small
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS, LEADERS = 14, 3, 4
 HEAVY, SLOTS = 0.005, 1 << 20
-CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 23
+CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 22
 BATCH_CHARS = 1 << 18
 #: Ranges of hashes are of about so many characters of text; several of them, picked by hash, make a task, so that tasks are of like size.
 PART_CHARS, TASK_PARTS, MAX_TASKS = 1 << 21, 4, 8192

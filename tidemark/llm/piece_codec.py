@@ -17,12 +17,11 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import per_batch, texts
+from tidemark.llm.common import per_batch, texts, worker_table
 
 MARK = "▁"
 #: Distinct chunks that a worker remembers; longer ones than ``CHUNK_CHARS`` are encoded anew each time.
 TABLE_LIMIT, CHUNK_CHARS = 400_000, 64
-_CACHE: dict[str, PieceTable] = {}
 
 
 class PieceTable(dict):
@@ -43,9 +42,10 @@ class PieceTable(dict):
 
     @staticmethod
     def load(path: str) -> PieceTable:
-        if path not in _CACHE:
-            _CACHE[path] = PieceTable(path)
-        return _CACHE[path]
+        return worker_table(f"pieces {path}", lambda: PieceTable(path))
+
+    def trim(self) -> None:
+        """All chunks are kept between tasks, up to the limit."""
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()

@@ -84,7 +84,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_
 
     # rows of one id (or none) are dealt by the beginnings of their texts
     ordered = texts(docs).repartitionByRange(F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
-    return save(ordered.mapInArrow(arrow_task(write), MANIFEST), "token-manifest")
+    return save(ordered.mapInArrow(arrow_task(write, tables=True), MANIFEST), "token-manifest")
 
 
 class _Flat:

@@ -13,10 +13,11 @@ import re
 
 import numpy as np
 
+from tidemark.llm.common import worker_table
+
 #: Distinct chunks of a generation; longer ones than ``CHUNK_CHARS`` are encoded anew each time. A full table becomes the old generation, from which chunks still in use return.
 TABLE_LIMIT = 400_000
 CHUNK_CHARS = 64
-_CACHE: dict[str, WordTable] = {}
 
 #: The pre-tokenizer's alternatives for lower-cased ASCII and Latin-1 text.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -49,9 +50,11 @@ class WordTable(dict):
 
     @staticmethod
     def load(path: str) -> WordTable:
-        if path not in _CACHE:
-            _CACHE[path] = WordTable(path)
-        return _CACHE[path]
+        return worker_table(f"words {path}", lambda: WordTable(path))
+
+    def trim(self) -> None:
+        """Between tasks only the present generation is kept."""
+        self.old, self.old_parts = {}, {}
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
