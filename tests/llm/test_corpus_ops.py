@@ -351,6 +351,44 @@ def test_near_links(spark):
     assert got == {1: (3, 2, True), 2: (3, 2, True), 3: (3, 2, True), 4: (3, 2, True), 5: (1, 0, None)}
 
 
+def test_near_copies_of_large_groups(spark):
+    """A large group's near copies hold together though their common shingles are frequent and so weigh little; each has three words in 200 replaced."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    stem = [word() for _ in range(200)]
+    rows = [(i, " ".join(stem)) for i in range(100)] + [(5000 + i, " ".join(word() for _ in range(30))) for i in range(600)]
+    for i in range(100):
+        w = list(stem)
+        for j in rng.sample(range(200), 3):
+            w[j] = word()
+        rows.append((1000 + i, " ".join(w)))
+    df = Counter(x for _, t in rows for x in neardup.shingles(t)[0].tolist())
+    w = neardup.Weights(len(rows), np.array(list(df), dtype=np.uint64), np.array(list(df.values()), dtype=np.int64))
+    s = [neardup.shingles(t) for i, t in rows if i == 0 or 1000 <= i < 1100]
+    assert np.median([neardup.jaccard(s[0][0], w.of(*s[0]), x[0], w.of(*x)) for x in s[1:]]) < 0.8
+    got = {r["doc_id"]: (r["class_id"], r["least_sim"]) for r in neardup.classes(docs(spark, rows)).collect()}
+    assert all(got[1000 + i][0] == 0 and got[1000 + i][1] >= 0.8 for i in range(100)) and all(got[5000 + i][0] == 5000 + i for i in range(600))
+
+
+def test_prefixes_by_counts_lose_no_copy():
+    """Texts that are copies by counts share a shingle of the prefix by counts, at which both have enough left."""
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(1, 2**63, 60).astype(np.uint64))
+    rank, close = rng.integers(0, 5, len(pool)), 0
+    for _ in range(3000):
+        n = rng.integers(1, 3, len(pool))
+        a = rng.random(len(pool)) < 0.8
+        b = a ^ (rng.random(len(pool)) < 0.08)
+        if neardup.jaccard(pool[a], n[a], pool[b], n[b]) >= neardup.COPIES:
+            close += 1
+            (p, x), (q, y) = (neardup.prefix(pool[i], n[i], rank[i], neardup.COPIES) for i in (a, b))
+            _, i, j = np.intersect1d(p, q, return_indices=True)
+            assert (np.minimum(x[i], y[j]) >= neardup.COPIES / (1 + neardup.COPIES) * (n[a].sum() + n[b].sum()) * (1 - 1e-9)).any()
+    assert close > 100
+
+
 def test_samples_are_consistent():
     """Agreement of samples estimates weighted Jaccard similarity."""
     rng = np.random.default_rng(1)

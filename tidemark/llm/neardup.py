@@ -6,22 +6,28 @@ frequency of every shingle is counted exactly: chunks of documents send their
 distinct shingles, sorted and packed by range of hash, in one shuffle, and each
 range keeps those of two or more documents.
 
-Candidates come from ``BANDS`` x ``ROWS`` consistent weighted samples. For these
-alone the idf is read from a table of bounded size that every task holds: exact
-for shingles in at least ``HEAVY`` of all documents, and for the others the mean
-frequency of an occurrence in their ``SLOTS``-th of the hash range. An error of
-it moves the chance that a pair meets, never a verdict: every pair is verified
-by weighted Jaccard similarity of the whole texts with the exact frequencies,
-which are joined to the texts that have a candidate.
+Frequencies count a group's own copies, so what they share weighs little and an
+edit weighs much, the more so the larger group and corpus are. Similarity is
+therefore that of the weights or, from ``COPIES`` on, that of the counts alone.
+
+Candidates come from ``BANDS`` x ``ROWS`` consistent weighted samples and from
+``COUNT_BANDS`` x ``ROWS`` of the counts alone. For the samples the idf is read
+from a table of bounded size that every task holds: exact for shingles in at
+least ``HEAVY`` of all documents, and for the others the mean frequency of an
+occurrence in their ``SLOTS``-th of the hash range. An error of it moves the
+chance that a pair meets, never a verdict: every pair is verified by Jaccard
+similarity of the whole texts with the exact frequencies, which are joined to
+the texts that have a candidate.
 
 Equal texts are one node. In each bucket the ``LEADERS`` nodes of least hash are
 compared with all members, so pairs grow linearly with a bucket, and buckets of
 up to LEADERS + 1 nodes are compared in full. The texts of larger buckets that
 still hold several groups are joined by prefix filtering, which is exact: each
-offers its rarest shingles, up to a fifth of its weight; those that share one
-meet its leaders, then all of other groups that can still be similar. Buckets
-are dealt over ``SALTS``, so a hot one is no single task's. Links of at least
-``SIMILAR`` join groups by min-label propagation over tables in the shared folder.
+offers its rarest shingles, up to a fifth of its weight or, if that is more, a
+sixth of its count; those that share one meet its leaders, then all of other
+groups that can still be similar. Buckets are dealt over ``SALTS``, so a hot one
+is no single task's. Links join groups by min-label propagation over tables in
+the shared folder.
 
 Edge cases: null and empty texts are equal texts; a null ``doc_id`` comes before
 all others and gives a null ``class_id``; rows of one id and text are one
@@ -44,7 +50,9 @@ from tidemark.llm.word_hash import byte_table, word_hashes
 from tidemark.session import broadcast_if_small
 
 WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS, LEADERS = 14, 3, 4
+#: Similarity by counts alone that makes a link whatever the weights.
+COPIES = 5 / 6
+BANDS, COUNT_BANDS, ROWS, LEADERS = 14, 6, 3, 4
 HEAVY, SLOTS = 0.005, 1 << 20
 CHUNK_DOCS, CHUNK_CHARS = 20_000, 1 << 22
 BATCH_CHARS = 1 << 18
@@ -166,27 +174,43 @@ def jaccard(s: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray) -> float
     return float(both / (x.sum() + y.sum() - both))
 
 
+def likeness(s: np.ndarray, x: np.ndarray, n: np.ndarray, t: np.ndarray, y: np.ndarray, m: np.ndarray) -> float:
+    """``jaccard`` by the weights ``x`` and ``y``; where that makes no link, by the counts ``n`` and ``m`` if that is ``COPIES`` or more."""
+    weighted = jaccard(s, x, t, y)
+    counted = jaccard(s, n, t, m) if weighted < SIMILAR else 0.0
+    return counted if counted >= COPIES else weighted
+
+
 def similarity(a: tuple, b: tuple, weights: Weights) -> float:
-    """``jaccard`` of two ``shingles`` results, each with its ``freq`` if known."""
-    return jaccard(a[0], weights.of(*a), b[0], weights.of(*b))
+    """``likeness`` of two ``shingles`` results, each with its ``freq`` if known."""
+    return likeness(a[0], weights.of(*a), a[1], b[0], weights.of(*b), b[1])
+
+
+def _stored(n: np.ndarray) -> bytes:
+    """Counts as bytes, none if all are 1."""
+    return b"" if (n == 1).all() else n.astype("<u4").tobytes()
+
+
+def _counts(b: bytes | pa.Buffer, size: int) -> np.ndarray:
+    return np.frombuffer(b, "<u4").astype(np.int64) if len(b) else np.ones(size, np.int64)
 
 
-@lru_cache(maxsize=BANDS * ROWS)
+@lru_cache(maxsize=(BANDS + COUNT_BANDS) * ROWS)
 def _draws(j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sample ``j``'s gamma, log gamma and uniform variables; a shingle takes those of its place among ``DRAWS``."""
     g = np.random.Generator(np.random.PCG64([11, j]))
     return g.gamma(2, 1, DRAWS).astype(np.float32), np.log(g.gamma(2, 1, DRAWS)).astype(np.float32), g.random(DRAWS, dtype=np.float32)
 
 
-def samples(s: np.ndarray, w: np.ndarray, k: int = BANDS * ROWS, bounds: np.ndarray | None = None) -> np.ndarray:
-    """``k`` consistent weighted samples of each non-empty text: the hash of the chosen (shingle, quantum). Texts lie between ``bounds``."""
+def samples(s: np.ndarray, w: np.ndarray, k: int = BANDS * ROWS, bounds: np.ndarray | None = None, start: int = 0) -> np.ndarray:
+    """``k`` consistent weighted samples, from number ``start`` on, of each non-empty text: the hash of the chosen (shingle, quantum). Texts lie between ``bounds``."""
     first = (np.array([0]) if bounds is None else bounds[:-1]).astype(np.int64)
     size = np.diff(np.append(first, len(s)))
     lw = np.log(w).astype(np.float32)
     at = (_mix(s * _M[1]) & np.uint64(DRAWS - 1)).astype(np.int64)
     out = np.empty((k, len(first)), dtype=np.uint64)
     for j in range(k):
-        r, lc, beta = (x.take(at) for x in _draws(j))
+        r, lc, beta = (x.take(at) for x in _draws(start + j))
         t = np.floor(lw / r + beta)
         a = lc - r * (t - beta + np.float32(1))
         low = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, first), size))
@@ -201,9 +225,10 @@ def band_keys(texts: list[str], weights: Weights) -> list[list[int]]:
     full = np.flatnonzero(np.diff(bounds))
     out: list[list[int]] = [[] for _ in texts]
     if len(full):
-        x = samples(s, weights.estimated(s, n), bounds=np.append(bounds[full], len(s)))
-        keys = np.empty((BANDS, len(full)), dtype=np.uint64)
-        for b in range(BANDS):
+        edges = np.append(bounds[full], len(s))
+        x = np.concatenate([samples(s, weights.estimated(s, n), bounds=edges), samples(s, n, COUNT_BANDS * ROWS, edges, BANDS * ROWS)])
+        keys = np.empty((BANDS + COUNT_BANDS, len(full)), dtype=np.uint64)
+        for b in range(BANDS + COUNT_BANDS):
             key = np.full(len(full), b, dtype=np.uint64)
             for r in range(ROWS):
                 key = _mix((key ^ x[b * ROWS + r]) * _M[4])
@@ -348,7 +373,7 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, counts: DataFrame, parts: int, weights: Weights) -> DataFrame:
-    """(node, s, w): shingles and exact weights of every text that is in some pair, saved.
+    """(node, s, w, n): shingles, exact weights and counts of every text that is in some pair, saved.
 
     One row of each text is taken. Groups of texts ask each range of hashes once and get the counts of two and more back by group.
     """
@@ -401,43 +426,46 @@ def profiles(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, counts: DataFra
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, freq = b.column("text").to_pylist(), b.column("freq").to_pylist()
-            keys, sums = [], []
+            keys, sums, counted = [], [], []
             for at, group in in_batches(texts):
                 s, n, bounds = shingle_batch(group)
                 for i, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     keys.append(s[a:z].tobytes())
                     sums.append(weights.of(s[a:z], n[a:z], freq[at + i]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], names=["node", "s", "w"])
+                    counted.append(_stored(n[a:z]))
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(x, pa.binary()) for x in (keys, sums, counted))], names=["node", "s", "w", "n"])
 
     asked = save(held.mapInArrow(arrow_task(ask), "p long, chunk binary, s binary, own binary"), "shingles-asked")
     tasks = _tasks(parts)
     got = asked.where("p >= 0").repartition(tasks, "p").groupBy("p").cogroup(counts.repartition(tasks, "p").groupBy("p")).applyInArrow(answer, "chunk binary, s binary, own binary")
     back = got.select(F.lit(0).cast("long").alias("p"), "chunk", "s", "own").unionByName(asked.where("p = -1"))
     freq = back.groupBy("chunk").applyInArrow(gather, "node binary, freq binary")
-    return save(held.join(freq, "node").mapInArrow(arrow_task(weigh), "node binary, s binary, w binary"), "profiles")
+    return save(held.join(freq, "node").mapInArrow(arrow_task(weigh), "node binary, s binary, w binary, n binary"), "profiles")
 
 
-def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The leading shingles, by ``rank`` and hash, without which less than ``SIMILAR`` of the weight is left, and the weight from each on.
+def prefix(s: np.ndarray, w: np.ndarray, rank: np.ndarray, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """The leading shingles, by ``rank`` and hash, without which less than ``similar`` of the weight is left, and the weight from each on.
 
     Two texts of at least that similarity share one: their common weight is at
-    least ``SIMILAR`` of either, so it does not fit into what either leaves out.
+    least ``similar`` of either, so it does not fit into what either leaves out.
     From the first they share on, both have at least that common weight.
     """
     if not len(s):
         return s, w
     order = np.lexsort((s, rank))
     left = np.cumsum(w[order][::-1])[::-1]
-    on = left >= SIMILAR * left[0] * (1 - 1e-9)
+    on = left >= similar * left[0] * (1 - 1e-9)
     return s[order[on]], left[on]
 
 
 def rest_prefixes(texts: DataFrame, rows: DataFrame, labels: DataFrame, weights: Weights) -> DataFrame | None:
-    """(s, rest, w, node): prefixes of the texts in buckets too large for their leaders that hold several groups, saved; None if there are none.
+    """(s, rest, w, more, n, node): prefixes of the texts in buckets too large for their leaders that hold several groups, saved; None if there are none.
 
-    The texts of such buckets share a prefix shingle if they are similar. Shingles
-    are ranked by the weights' table, so a prefix holds a text's rarest shingles;
-    the ranking affects cost only.
+    The texts of such buckets share a prefix shingle if they are similar, by
+    weights (``rest`` of ``w``) or by counts (``more`` of ``n``); of a text's two
+    prefixes one begins with the other, and beyond the shorter its measure is 0.
+    Shingles are ranked by the weights' table, so a prefix holds a text's rarest
+    shingles; the ranking affects cost only.
     """
     large = _salted(_sizes(rows).where(F.col("n") > LEADERS + 1).select("bucket"))
     own = rows.join(large, ["bucket", "salt"]).join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -451,54 +479,56 @@ def rest_prefixes(texts: DataFrame, rows: DataFrame, labels: DataFrame, weights:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, at, left, sums = [], [], [], []
-            for i, (x, y) in enumerate(zip(b.column("s").to_pylist(), b.column("w").to_pylist(), strict=True)):
+            keys, at, numbers = [], [], []
+            for i, (x, y, z) in enumerate(zip(*(b.column(c).to_pylist() for c in ("s", "w", "n")), strict=True)):
                 s, w = np.frombuffer(x, np.uint64), np.frombuffer(y)
-                p, rest = prefix(s, w, -weights.estimated(s, 1))
-                keys.append(p)
-                at.append(np.full(len(p), i))
-                left.append(rest)
-                sums.append(np.full(len(p), w.sum()))
+                n, rank = _counts(z, len(s)), -weights.estimated(s, 1)
+                (p, rest), (q, more) = prefix(s, w, rank), prefix(s, n, rank, COPIES)
+                size = max(len(p), len(q))
+                keys.append(p if len(p) == size else q)
+                at.append(np.full(size, i))
+                numbers.append(np.stack([np.pad(rest, (0, size - len(p))), np.full(size, w.sum()), np.pad(more, (0, size - len(q))), np.full(size, n.sum())]).astype(float))
             named = b.column("node").take(pa.array(np.concatenate(at), pa.int64()))
-            numbers = [np.concatenate(keys).view(np.int64), np.concatenate(left), np.concatenate(sums)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), named], names=["s", "rest", "w", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, np.concatenate(numbers, axis=1)), named], names=["s", "rest", "w", "more", "n", "node"])
 
-    held = texts.join(broadcast_if_small(nodes), "node", "left_semi").select("node", "s", "w")
-    return save(held.mapInArrow(arrow_task(run), "s long, rest double, w double, node binary"), "prefixes")
+    held = texts.join(broadcast_if_small(nodes), "node", "left_semi").select("node", "s", "w", "n")
+    return save(held.mapInArrow(arrow_task(run), "s long, rest double, w double, more double, n double, node binary"), "prefixes")
 
 
 def prefix_pairs(found: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
     """(a, b): pairs of different groups that share a prefix shingle and can be similar; with ``few`` only those with the shingle's ``LEADERS`` texts."""
-    own = found.join(labels, "node", "left").select("s", "rest", "w", "node", F.coalesce("label", "node").alias("label"))
+    own = found.join(labels, "node", "left").select("s", "rest", "w", "more", "n", "node", F.coalesce("label", "node").alias("label"))
     own = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     mixed = own.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("s")
     own = save(own.join(_salted(mixed), ["s", "salt"], "left_semi"), "mixed-prefixes")
-    low = own.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"), F.col("rest").alias("left"))
+    low = own.select("s", F.col("node").alias("b"), F.col("label").alias("other"), F.col("w").alias("v"), F.col("rest").alias("left"), F.col("n").alias("m"), F.col("more").alias("over"))
     if few:
-        rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc(F.col("left") / F.col("v")), "b"))
+        rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc(F.greatest(F.col("left") / F.col("v"), F.col("over") / F.col("m"))), "b"))
         low = low.withColumn("r", rank).where(F.col("r") <= LEADERS).drop("r")
-    able = f"label <> other and least(rest, left) >= {SIMILAR / (1 + SIMILAR) * (1 - 1e-9)} * (w + v)"
+    reach = lambda t: t / (1 + t) * (1 - 1e-9)
+    able = f"label <> other and (least(rest, left) >= {reach(SIMILAR)!r}D * (w + v) or least(more, over) >= {reach(COPIES)!r}D * (n + m))"
     met = own.join(_salted(low), ["s", "salt"]).where(able if few else f"node > b and {able}")
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
 def verified_links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, sim) of the pairs whose whole texts are similar enough, saved; only profiles in some pair are shuffled."""
-    j = pairs.join(texts.withColumnsRenamed({"node": "b", "s": "sb", "w": "wb"}), "b").join(texts.withColumnsRenamed({"node": "a", "s": "sa", "w": "wa"}), "a")
+    j = pairs.join(texts.withColumnsRenamed({"node": "b", "s": "sb", "w": "wb", "n": "nb"}), "b").join(texts.withColumnsRenamed({"node": "a", "s": "sa", "w": "wa", "n": "na"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sims = [], [], []
             for i, (x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
                 sa, wa, sb, wb = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("sa", np.uint64), ("wa", float), ("sb", np.uint64), ("wb", float)))
-                s = jaccard(sa, wa, sb, wb)
+                na, nb = (_counts(batch.column(c)[i].as_buffer(), len(x)) for c, x in (("na", sa), ("nb", sb)))
+                s = likeness(sa, wa, na, sb, wb, nb)
                 if s >= SIMILAR:
                     a.append(x)
                     b.append(y)
                     sims.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
-    return save(j.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(arrow_task(run), "a binary, b binary, sim double"), "links")
+    return save(j.select("a", "b", "sa", "wa", "na", "sb", "wb", "nb").mapInArrow(arrow_task(run), "a binary, b binary, sim double"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -549,7 +579,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, n_texts, n_links, least_sim, keep).
 
     ``class_id`` is the smallest id of the group, whose document stays; ``n_texts`` counts the group's different texts;
-    ``n_links`` counts the verified links of the document's text to other texts, and ``least_sim`` is the weakest of them.
+    ``n_links`` counts the verified links of the document's text to other texts, and ``least_sim`` is the weakest of them
+    (by weights, or by counts where only these make the link).
     """
     back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
     return _classes(docs).select(back("k").alias("doc_id"), back("class").alias("class_id"), "n_texts", "n_links", "least_sim", "keep")
