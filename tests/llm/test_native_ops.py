@@ -282,3 +282,17 @@ def test_pii_many_matches(spark):
     r = pii.find(docs(spark, [(1, text)])).collect()[0]
     assert (r["n_email"], r["n_ip"]) == (3000, 3000)
     check_pii([(1, text)], [r])
+
+
+def test_pii_repeats_of_every_name(spark):
+    """A name said twice is marked so wherever it stands among a text's names, and one said once is not."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: f"Zor{letters[i // 26]}{letters[i % 26]} Quil{letters[i % 26]}{letters[i // 26]}"
+    order = [*range(400), *range(350, 400), *range(0, 10)]
+    text = "; ".join(f"then {name(i)}" for i in order) + "; card 1234 5678 9012 3456 and 12 1234 5678 9012 3456"
+    bit = 1 << len(pii.LABELERS) + pii.FEATURES.index("repeated")
+    got = {}
+    for x in pii.candidates(docs(spark, [(1, text)])).collect()[0]["more"]:
+        got.setdefault(text[x["s"] : x["e"]], []).append(bool(x["v"] & bit))
+    assert got.pop("1234 5678 9012 3456") == [True, True]
+    assert got == {name(i): [order.count(i) > 1] * order.count(i) for i in range(400)}

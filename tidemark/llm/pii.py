@@ -109,6 +109,7 @@ _GUARD = {
 }
 _SPAN = "array<struct<s:int,k:int,e:int,m:string>>"
 _VOTED = "array<struct<s:int,k:int,e:int,v:int>>"
+_MARKED = "array<struct<m:string,s:int,k:int,e:int,again:boolean>>"
 _NO_SPANS = f"cast(array() as {_SPAN})"
 
 
@@ -149,7 +150,7 @@ def _words(words: list[str]) -> str:
 
 
 def _votes(kind: str) -> str:
-    """SQL of a candidate's votes and features as bits; ``x`` is the candidate, ``all`` every span and candidate of the text."""
+    """SQL of a candidate's votes and features as bits; ``x`` is the marked candidate, ``near`` every span and candidate of the text but names."""
     d = _digits("x.m")
     before = f"lower(substring(text, greatest(x.s - {CUE_REACH - 1}, 1), least(x.s, {CUE_REACH})))"
     after = f"lower(substring(text, x.e + 1, {AFTER_REACH}))"
@@ -179,13 +180,13 @@ def _votes(kind: str) -> str:
         "name": f"not rlike({last}, '^({_words(NO_NAMES)})$') and not rlike(x.m, '^(The|This|That|In|On|At|It|He|She|We|And|But|For|New|Der|Die|Das|Le|La|Les|El|Los|Un|Une)\\\\x20')",
     }[kind]
     border = "rlike(concat(substring(text, x.s, if(x.s = 0, 0, 1)), ' '), '^[\\\\x20\\n,;:(]') and rlike(concat(substring(text, x.e + 1, 1), ' '), '^[\\\\x20\\n.,;:)!?]')"
-    near = f"exists(all, o -> o.s <> x.s and o.k <> x.k and o.k <> {KINDS.index('name')} and o.s < x.e + {NEAR} and x.s < o.e + {NEAR})"
+    near = f"exists(near, o -> o.s <> x.s and o.k <> x.k and o.s < x.e + {NEAR} and x.s < o.e + {NEAR})"
     bits = (form, gazetteer, f"rlike({before}, '(?<!\\\\p{{L}})({CUES[kind]})')", valid, border, near)
     extra = (
         f"rlike({after}, '^[^\\\\p{{L}}0-9(]{{0,3}}({AFTER[kind]})')",
         "x.s = 0 or substring(text, x.s, 1) = '\\n'",
         f"length(x.m) > {LONG[kind]}",
-        "exists(all, o -> o.s <> x.s and o.m = x.m)",
+        "x.again",
     )
     return " + ".join(f"if({b}, {1 << i}, 0)" for i, b in enumerate((*bits, *extra)))
 
@@ -199,8 +200,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     apart = [F.expr(f"filter(_{k}, x -> not exists(base, b -> b.s < x.e and x.s < b.e))").alias(f"_{k}") for k in MORE]
     d = d.select("doc_id", "text", "base", *apart)
     # a name may be told apart by other spans near it, but prose is full of name-like pairs: they are nobody's neighbours
-    d = d.withColumn("all", F.expr(f"concat(base, {', '.join('_' + k for k in MORE if k != 'name')}, slice(_name, 1, {BLOCK}))"))
-    voted = [F.expr(f"transform(_{k}, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'v', {_votes(k)}))") for k in MORE]
+    d = d.withColumn("near", F.expr(f"concat(base, {', '.join('_' + k for k in MORE if k != 'name')})"))
+    # equal spans stand side by side once sorted by their text; no two of one text begin at one place
+    same = "coalesce(get(p, i - 1).m = x.m, false) or coalesce(get(p, i + 1).m = x.m, false)"
+    mark = f"transform(p, (x, i) -> named_struct('m', x.m, 's', x.s, 'k', x.k, 'e', x.e, 'again', {same}))"
+    sort = "sort_array(transform(concat(near, _name), x -> named_struct('m', x.m, 's', x.s, 'k', x.k, 'e', x.e)))"
+    marked = F.expr(f"transform(array({sort}), p -> {mark})[0]").cast(_MARKED)
+    d = d.select("doc_id", "text", "base", "near", F.when(F.expr(" + ".join(f"size(_{k})" for k in MORE) + " > 0"), marked).otherwise(F.expr(f"cast(array() as {_MARKED})")).alias("marked"))
+    voted = [F.expr(f"transform(filter(marked, x -> x.k = {KINDS.index(k)}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'v', {_votes(k)}))") for k in MORE]
     return d.select("doc_id", F.expr("transform(base, b -> named_struct('s', b.s, 'k', b.k, 'e', b.e))").alias("base"), F.concat(*voted).cast(_VOTED).alias("more"))
 
 
