@@ -433,3 +433,37 @@ def test_workers_keep_one_table(spark):
     d = spark.range(8).repartition(4)
     assert {r["n"] for r in d.mapInArrow(common.arrow_task(load, tables=True), "n long").collect()} == {1}
     assert {r["n"] for r in d.mapInArrow(common.arrow_task(count), "n long").collect()} == {0}
+
+
+def test_tables_are_given_back_before_other_work(monkeypatch):
+    from tidemark.llm import common
+
+    class Table:
+        def trim(self):
+            pass
+
+    seen = []
+
+    def work(batches):
+        seen.append("work")
+        yield from batches
+
+    monkeypatch.setattr(common, "release", lambda: seen.append(len(common._TABLES)))
+    common._TABLES.clear()
+    common.worker_table("a", Table)
+    assert list(common.arrow_task(work)(iter([1, 2]))) == [1, 2]
+    assert seen == [0, "work", 0]  # the memory of the dropped table goes before the work begins, not only when it ends
+    seen.clear()
+    list(common.arrow_task(work)(iter([1])))
+    assert seen == ["work", 0]
+
+
+def test_whole_texts_are_read_in_small_batches(spark):
+    from tidemark.llm import common, lines, quality
+
+    for stage in (quality.filter_documents, lines.dedup):
+        s = spark.newSession()
+        s.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4096")
+        docs = s.createDataFrame([(1, "a few words\nand more", "en", "web")], "doc_id long, text string, lang string, source string")
+        stage(docs)
+        assert {int(s.conf.get(k)) for k in common.BATCHES} == {common.ARROW_ROWS}

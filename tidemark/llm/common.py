@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 from tidemark.session import scratch_path
 
 
-#: Rows of an Arrow batch of texts.
+#: Rows of a batch of texts, and what sets them: those sent to a Python worker, and those that the Parquet reader decodes at once.
 ARROW_ROWS = 1000
+BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 def frugal(docs: DataFrame) -> DataFrame:
-    """``docs``, once its session sends at most ``ARROW_ROWS`` rows to a Python worker at a time: a batch of whole texts is held by both sides, several times over."""
+    """``docs``, once its session reads and sends to a Python worker at most ``ARROW_ROWS`` rows at a time: a batch of whole texts is held by the reader and by both sides, several times over."""
     conf = docs.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for k in BATCHES:
+        if not 0 < int(conf.get(k)) <= ARROW_ROWS:
+            conf.set(k, str(ARROW_ROWS))
     return docs
 
 
@@ -70,11 +72,12 @@ def release() -> None:
 
 
 def arrow_task(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tables: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``f`` for ``mapInArrow``, with its freed memory released when the task ends. Unless it uses ``tables``, those of other tasks are let go first."""
+    """``f`` for ``mapInArrow``, with its freed memory released when the task ends. Unless it uses ``tables``, those of other tasks are let go and given back first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not tables:
+        if not tables and _held():
             drop_tables()
+            release()
         try:
             yield from f(batches)
         finally:
