@@ -215,6 +215,39 @@ def test_probe_in_blocks(spark, monkeypatch, block):
     assert {(f"k{i}", i % 4) for i in range(60)} <= got and len(got) < 90
 
 
+def test_probe_is_dealt_by_pairs(spark, monkeypatch):
+    """Exactly the pairs that the stored bits admit, from tasks whose number grows with the pairs: filters of one size together, others alone."""
+    monkeypatch.setattr(bloom, "TASK_PAIRS", 3000, raising=False)
+    own = {i - 5: [f"k{j}" for j in range(9 * i, 9 * i + 60)] for i in range(70)} | {900: [f"k{j}" for j in range(300)]}
+    f = spark.createDataFrame([(i, 8 * len(b), b) for i, k in own.items() for b in [binary.bloom_bytes([x.encode() for x in k])]], "run_id long, n_bits long, bits binary")
+    keys = [f"k{j}" for j in range(800)]
+    asked = spark.createDataFrame([(k,) for k in [*keys, "k1", None]], "key string").repartition(3)
+    rows = bloom.probe(f, asked).select("key", "run_id", F.spark_partition_id().alias("part")).collect()
+    want = set()
+    for r in f.collect():
+        bits = int.from_bytes(r["bits"], "little")
+        for k, h in zip(keys, map(int, murmur3_array([x.encode() for x in keys])), strict=True):
+            step = (h >> 17 | h << 15) & 0xFFFFFFFF
+            if all(bits >> ((h + i * step) & 0xFFFFFFFF) % r["n_bits"] & 1 for i in range(7)):
+                want.add((k, r["run_id"]))
+    assert len({r["part"] for r in rows}) > 4
+    assert len(rows) == len(want) and {(r["key"], r["run_id"]) for r in rows} == want > {(k, i) for i in own for k in own[i]}
+    assert bloom.probe(f.limit(0), asked).count() == bloom.probe(f, asked.limit(0)).count() == 0
+
+
+def test_stored_filters_in_batches(spark):
+    rows = [(i % 5 - 2, f"user:{j}") for i in range(5) for j in range(40 * i + 1)] * 2
+    e = spark.createDataFrame([*rows, (1, None), (None, "a")], "run_id long, key string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["run_id"]: (r["n_bits"], bytes(r["bits"])) for r in bloom.stored_filters(e).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {i: binary.bloom_bytes([k.encode() for k in {k for r, k in rows if r == i}]) for i in {r for r, _ in rows}}
+    assert got == {i: (8 * len(b), b) for i, b in want.items()}
+
+
 # sequence logic over ranges
 
 

@@ -262,7 +262,7 @@ def key_hash(spark, d):
 @query("bloom_bits_set", f"WITH {_LOG}, {_FILTER} SELECT run_id, n_bits, count(*) AS n_set FROM bits GROUP BY 1, 2")
 def bloom_bits_set(spark, d):
     """Bits of every run's filter as stored in bytes."""
-    stored = bloom.to_bytes(bloom.build_filters(read_changelog(spark, d).withColumnRenamed("k", "key")))
+    stored = bloom.stored_filters(read_changelog(spark, d).withColumnRenamed("k", "key"))
     ones = "aggregate(sequence(1, octet_length(bits)), 0L, (a, i) -> a + bit_count(cast(conv(hex(substring(bits, i, 1)), 16, 10) as int)))"
     return stored.select("run_id", "n_bits", F.expr(ones).alias("n_set"))
 
@@ -271,7 +271,7 @@ def bloom_bits_set(spark, d):
 def bloom_probe(spark, d):
     """Every key that the filter of any run may hold, probed in the filters' stored bytes."""
     log = read_changelog(spark, d).withColumnRenamed("k", "key")
-    return bloom.probe(cut(bloom.to_bytes(bloom.build_filters(log))), log).select("key", "run_id")
+    return bloom.probe(cut(bloom.stored_filters(log)), log).select("key", "run_id")
 
 
 @query(
@@ -282,7 +282,7 @@ def sparse_index_seek(spark, d):
     """Where a lookup of any key begins to read, in every run whose filter admits the key."""
     log = read_changelog(spark, d)
     keyed = log.withColumnRenamed("k", "key")
-    admitted = bloom.probe(cut(bloom.to_bytes(bloom.build_filters(keyed))), keyed).select("run_id", F.col("key").alias("k"))
+    admitted = bloom.probe(cut(bloom.stored_filters(keyed)), keyed).select("run_id", F.col("key").alias("k"))
     return lookup.index_seek(cut(runs.sparse_index(log)), admitted)
 
 
