@@ -248,6 +248,28 @@ def test_stored_filters_in_batches(spark):
     assert got == {i: (8 * len(b), b) for i, b in want.items()}
 
 
+def test_seek_of_admitted_pairs(spark):
+    """Offsets by bytes of the keys, found where the filters are; the pairs are not shuffled, sorted or joined."""
+    from bisect import bisect_right
+
+    from tidemark.queries import QUERIES
+
+    keys = ["", "a", "aa", "b", "m", "z", "\xe9", "\ue000", "\U0001f600"]
+    index = [(r, k, o) for r, ks in ((-7, "b\xe9"), (3, "am"), (3000000000, ["", "\ue000", "\U0001f600"]), (5, "a")) for o, k in enumerate(ks, 1)]
+    f = spark.createDataFrame([(r, b"\xff" * 80) for r in (3, -7, 3000000000, 4)], "run_id long, bits binary")  # 4 has no entries, 5 no filter
+    asked = spark.createDataFrame([(k,) for k in reversed(keys)], "key string")
+    got = bloom.probe(f, asked, index=spark.createDataFrame([*index, (3, None, 9)], "run_id long, k string, offset long"))
+    want = set()
+    for r in (3, -7, 3000000000, 4):
+        e = sorted((k.encode(), o) for i, k, o in index if i == r)
+        at = [bisect_right([k for k, _ in e], k.encode()) for k in keys]
+        want |= {(k, r, e[i - 1][1] if i else 0) for k, i in zip(keys, at, strict=True)}
+    rows = [tuple(r) for r in got.select("key", "run_id", "offset").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = QUERIES["sparse_index_seek"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
 # sequence logic over ranges
 
 

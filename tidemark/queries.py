@@ -282,8 +282,8 @@ def sparse_index_seek(spark, d):
     """Where a lookup of any key begins to read, in every run whose filter admits the key."""
     log = read_changelog(spark, d)
     keyed = log.withColumnRenamed("k", "key")
-    admitted = bloom.probe(cut(bloom.stored_filters(keyed)), keyed).select("run_id", F.col("key").alias("k"))
-    return lookup.index_seek(cut(runs.sparse_index(log)), admitted)
+    found = bloom.probe(cut(bloom.stored_filters(keyed)), keyed, index=cut(runs.sparse_index(log)))
+    return found.select("run_id", F.col("key").alias("k"), "offset")
 
 
 @query("size_tier", f"WITH {_STATS} SELECT run_id, n_bytes, tier FROM t")
